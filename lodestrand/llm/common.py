@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,9 @@ def rows_by_chars(batches, text_at: int, most_chars: int = 1 << 20, most_rows: i
 
 _WIDE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces of Latin letters, digits and ASCII signs, without an apostrophe or wide white space, and their runs.
+_PLAIN = re.compile(r"(?!\n)(?:[!-&(-~À-ÖØ-öø-ÿŒœ]|\n(?!\n))+").fullmatch
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ]+|[0-9]+|[^A-Za-zÀ-ÖØ-öø-ÿŒœ0-9\n]+|\n").findall
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -80,11 +84,12 @@ class Encoder:
 
     For both vocabularies used here a cut at a space whose left neighbour is no white space leaves the ids
     unchanged: a byte-level pre-token begins with at most that one space, and the word-level one drops it.
-    Texts with wider white space are cut only where both neighbours are not white space.
+    Texts with wider white space are cut only where both neighbours are not white space. A piece that is not cached
+    is cut again into runs of letters, digits and signs where all are Latin, as both vocabularies do themselves.
     Control strings inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, byte_level: bool, most: int = 300_000):
+    def __init__(self, path: str, byte_level: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,24 +97,36 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.lead = " " if byte_level else ""
         self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.most = most
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        lead, runs = self.lead, self.runs
+        if len(runs) > self.most:
+            runs.clear()
+        cut = []
+        for x in pieces:
+            if _PLAIN(x):
+                r = _RUNS(x if lead else x.lower())
+                r[0] = lead + r[0]
+                cut.append(r)
+            else:
+                cut.append([lead + x])
+        if new := list(set().union(*cut).difference(runs)):
+            runs.update(zip(new, self._ids(new), strict=True))
+        get = runs.__getitem__
+        self.cache.update(zip(pieces, [b"".join(map(get, r)) for r in cut], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        lead, cut = self.lead, []
-        for t in texts:
-            cut.append(_CUT.split(t) if _WIDE.search(t) else t.split(" "))
+        cut = [_CUT.split(t) if _WIDE.search(t) else t.split(" ") for t in texts]
         if len(self.cache) > self.most:
             self.cache.clear()
-        need = set().union(*(x[1:] for x in cut)).difference(self.cache) if cut else set()
-        if need:
-            new = list(need)
-            self.cache.update(zip(new, self._ids([lead + x for x in new]), strict=True))
+        if need := set().union(*(x[1:] for x in cut)).difference(self.cache):
+            self._learn(list(need))
         first = self._ids([x[0] for x in cut])
         get = self.cache.__getitem__
         return [a + b"".join(map(get, x[1:])) if len(x) > 1 else a for a, x in zip(first, cut, strict=True)]
