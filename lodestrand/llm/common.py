@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -122,6 +123,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
+        gc.disable()  # many short-lived lists, none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _WIDE.search(t) else t.split(" ") for t in texts]
         if len(self.cache) > self.most:
             self.cache.clear()

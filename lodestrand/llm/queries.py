@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import decontam
+from .decontam import op3_decontam
 from .lang_id import op2_lang_id
 from .packing import op10_packing
 from .token_output import op1_token_output
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_lang_id, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_lang_id, op3_decontam, op10_packing)}
+SQL: dict[str, str] = {"op3_decontam": decontam.SQL}
