@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, near_dedup
 from .decontam import op3_decontam
 from .lang_id import op2_lang_id
+from .near_dedup import op4_near_dedup
 from .packing import op10_packing
 from .token_output import op1_token_output
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_lang_id, op3_decontam, op10_packing)}
-SQL: dict[str, str] = {"op3_decontam": decontam.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_lang_id, op3_decontam, op4_near_dedup, op10_packing)}
+SQL: dict[str, str] = {"op3_decontam": decontam.SQL, "op4_near_dedup": near_dedup.SQL}
