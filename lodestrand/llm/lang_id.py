@@ -138,16 +138,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -
     langs, protos = model
     ready(docs.sparkSession)
     names = list(keep)
+    at = names.index("text") if "text" in names else len(names)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in rows_by_chars(batches, len(names)):
-            lang, score, cos = predict(*profiles(b.column(len(names)).to_pylist()), langs, protos)
+        for b in rows_by_chars(batches, at):
+            lang, score, cos = predict(*profiles(b.column(at).to_pylist()), langs, protos)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score), pa.array(cos)], names=[*names, "lang_pred", "score", "cosine"])
 
-    rows = docs.select(*names, F.col("text").alias("text__in"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
+    rows = docs.select(*names, *[] if "text" in names else ["text"])
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[: len(names)])
     return rows.mapInArrow(run, kinds + ", lang_pred string, score double, cosine double")
 
 
