@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import only, ready, stored
 
 K, SHINGLE = 128, 5
+LAST = -(1 << 63)
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -75,13 +76,13 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Every document with the text and sketch that its successor in descending doc_id (the first after the last) lends it.
 
-    A null doc_id comes last. Where rows repeat a doc_id each takes the same successor, and the least of their texts is
+    A null doc_id comes last (and so does the least long, which stands for it). Where rows repeat a doc_id each takes the same successor, and the least of their texts is
     what they lend. Whole texts are dealt once, by key; what is lent (a third of a text at most needed) once more.
     """
-    rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     lend = rows.withColumn("r__", F.lag(F.lit(1)).over(Window.partitionBy("key").orderBy("text"))).where("r__ is null").join(neighbours(rows), "key")
     lend = with_sketch(lend, "text", "next_sketch").select(F.col("to").alias("key"), F.expr("substring(text, 1, int(need))").alias("lent"), "next_sketch")
-    return rows.join(lend, "key")
+    return rows.join(lend, "key").withColumn("doc_id", F.when(F.col("key") != LAST, F.col("key")))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
