@@ -20,7 +20,6 @@ MARGIN = 6.0
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
-_cache: dict[bytes, int] = {}
 
 
 class _Hashes(dict):
@@ -44,8 +43,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles of lower-cased (A-Z) words; a shorter text is one shingle."""
+def shingle_stream(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles of lower-cased (A-Z) words in order; a shorter text is one shingle."""
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes split at \x20 \x09-\x0D
     if not w:
         return np.zeros(0, np.uint64)
@@ -55,7 +54,12 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     out = np.full(n, 0x9E3779B97F4A7C15 * min(size, len(h)) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(min(size, len(h))):
         out = _mix(out + h[k : k + n])
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_stream(text, size))
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
