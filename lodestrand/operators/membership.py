@@ -62,13 +62,10 @@ def gaps(rows: DataFrame, position: str, bucket: int = 1 << 15) -> DataFrame:
 
 def gzip_size(raw: Column) -> Column:
     """Bytes of a binary after gzip, a batch at a time."""
-    import pandas as pd
-
-    @F.pandas_udf("long")
-    def size(x: pd.Series) -> pd.Series:
+    def size(x):
         return x.map(lambda b: None if b is None else len(gzip.compress(b, mtime=0)))
 
-    return size(raw)
+    return F.pandas_udf(size, "long", F.PandasUDFType.SCALAR)(raw)
 
 
 def raw_size(df: DataFrame, value: str) -> DataFrame:

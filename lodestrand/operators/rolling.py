@@ -17,7 +17,7 @@ def evicted(value: Column, size: int, partition: list[str], order: list[str]) ->
 
 def moving_mean(value: Column, size: int, partition: list[str], order: list[str]) -> Column:
     """Sum of the last size values over size, also while the window fills. Decimals keep sums exact."""
-    return F.sum(value).over(_w(partition, order).rowsBetween(-(size - 1), 0)) / size
+    return F.sum(value).over(_w(partition, order).rowsBetween(-(size - 1), 0)).cast("double") / size
 
 
 def element_at(value: Column, i: int, partition: list[str], order: list[str]) -> Column:
