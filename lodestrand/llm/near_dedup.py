@@ -16,7 +16,9 @@ from .common import only, ready, rows_by_chars, stored
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.0005, 20.0, (1 << 16) - 2
-MARGIN = 6.0
+#: Standard deviations of equal registers below the threshold at which a pair is left out unseen: under one in a million.
+DEVIATIONS = 5.0
+ROUNDS = 6
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -127,6 +129,19 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "keys"])
 
 
+def _open(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        regs = [np.frombuffer(r, np.uint16).astype(np.int32) for r in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(regs, pa.list_(pa.int32()))], names=["id", "r"])
+
+
+def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b), the smaller id first."""
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def _plausible(percent: int):
     least = percent / 100
 
@@ -138,7 +153,7 @@ def _plausible(percent: int):
                 continue
             regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (4, 5)]
             n_a, n_b = (b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3))
-            keep = likeness(*regs, n_a, n_b) >= least - MARGIN * np.sqrt(least * (1 - least) / REGISTERS)
+            keep = likeness(*regs, n_a, n_b) >= least - DEVIATIONS * np.sqrt(least * (1 - least) / REGISTERS)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -213,8 +228,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id is its own component (null) and kept.
 
     Equal sets are one class with its least doc_id for it. A class meets the least member of each of its buckets
-    first; after those links are joined, only pairs of different components that share a bucket are left, each taken
-    in the first bucket it shares. No bucket is cut short.
+    first. While more pairs than are in proportion to the classes share a bucket but no component, every bucket is led
+    by another member, whom those of other components meet. In the end all pairs of different components that share a
+    bucket are taken, each in the first bucket it shares, but for those whose equal registers lie DEVIATIONS standard
+    deviations below the threshold. No bucket is cut short.
     """
     spark = ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
@@ -224,17 +241,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keys = stored(reps.mapInArrow(_bands, "id long, n long, keys array<bigint>"), "keys")
     band = keys.select("id", F.explode("keys").alias("k"))
     lead = band.groupBy("k").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1")
-    pairs = band.join(lead, "k").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    first = stored(confirmed(pairs, reps, docs, size, percent), "edges")
-    comp = components(first)
+    tried = stored(_ordered(band.join(lead, "k").where("id <> b"), "id", "b"), "tried")
+    edges = stored(confirmed(tried, reps, docs, size, percent), "edges")
+    n_classes = classes.count()
+    for turn in range(ROUNDS):
+        comp = components(edges)
+        flat = stored(keys.select("id", F.explode("keys").alias("k")).join(comp, "id", "left").select("id", "k", F.coalesce("comp", "id").alias("comp")), "flat")
+        mixed = flat.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("lo < hi")
+        left = mixed.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
+        if left <= REGISTERS // BAND * n_classes:
+            break  # pairs in the buckets are in proportion to the classes: the rest can be tried one by one
+        star = _ordered(flat.join(mixed, "k").where("comp <> lead.comp").select("id", F.col("lead.id").alias("b")), "id", "b").join(tried, ["a", "b"], "left_anti")
+        star = stored(star, "tried")
+        more = stored(confirmed(star, reps, docs, size, percent), "edges")
+        tried, edges = tried.union(star), edges.union(more)
+        if not more.limit(1).count():
+            break
+    comp = components(edges)
     known = keys.join(comp, "id", "left").select("id", "n", "keys", F.coalesce("comp", "id").alias("comp"))
-    flat = known.select("id", "n", "keys", "comp", F.explode("keys").alias("k"))
+    flat = known.select("id", "n", "comp", F.explode("keys").alias("k"))
     mixed = flat.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
     rest = flat.join(mixed, "k")
-    left, right = (rest.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "keys", "comp")]) for s in "ab")
-    cross = left.join(right, "k").where((F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("k")))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    wide = keys.select("id", "keys").join(reps.mapInArrow(_open, "id long, r array<int>"), "id").join(rest.select("id").distinct(), "id", "left_semi")
+    rest = rest.join(wide, "id")
+    left, right = (rest.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "keys", "r")]) for s in "ab")
+    same = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
+    p = percent / 100
+    enough = REGISTERS * p - DEVIATIONS * (REGISTERS * p * (1 - p)) ** 0.5
+    cross = left.join(right, (left["k"] == right["k"]) & (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == left["k"]) & (same >= enough))
+    cross = _ordered(cross, "id_a", "id_b").join(tried, ["a", "b"], "left_anti")
     more = confirmed(cross, reps, docs, size, percent)
     edges = comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)
     # rows that repeat a doc_id with another text tie their classes together
