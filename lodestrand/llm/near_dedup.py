@@ -8,6 +8,8 @@ set sizes leaves out the hopeless, and whole shingle sets confirm the rest.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,50 +20,92 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.0005, 20.0, (1 << 16) - 2
 #: Standard deviations of equal registers below the threshold at which a pair is left out unseen: under one in a million.
 DEVIATIONS = 5.0
-ROUNDS = 6
+#: Rows of a bucket beyond which its pairs are not taken one by one but found by the sets' rarest shingles.
+DIRECT = 64
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_stream(text: str | None, size: int) -> np.ndarray:
-    """64-bit hashes of a text's shingles of lower-cased (A-Z) words in order; a shorter text is one shingle."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes split at \x20 \x09-\x0D
-    if not w:
-        return np.zeros(0, np.uint64)
-    get = _hashes.__getitem__
-    h = np.fromiter(map(get, w), np.uint64, len(w))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, 0x9E3779B97F4A7C15 * min(size, len(h)) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for k in range(min(size, len(h))):
-        out = _mix(out + h[k : k + n])
-    return out
+PIECE = 1 << 20
+_R = 0x9FB21C651E98DF25
+_SPACE = re.compile(rb"[\x20\t-\r]")
+_IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.full(max(n, PIECE + 4096), r, np.uint64) for r in (_R, pow(_R, -1, 1 << 64))]
+        for p in _powers:
+            p[0] = 1
+            np.cumprod(p, out=p)
+    return _powers
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a byte string and where they begin: differences of prefix sums of byte * R^place."""
+    hashes, begins, at = [], [], 0
+    while at < len(data):
+        to = min(at + PIECE, len(data))
+        if to < len(data):  # cut at white space, so that no word is in two pieces
+            m = _SPACE.search(data, to)
+            to = m.end() if m else len(data)
+        x = np.frombuffer(data, np.uint8, to - at, at)
+        edge = np.diff(_IS_SPACE[x], prepend=True, append=True)
+        i = np.flatnonzero(edge).reshape(-1, 2)
+        up, down = _power_tables(len(x) + 1)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTES[x] * up[: len(x)], out=sums[1:])
+        hashes.append(_mix((sums[i[:, 1]] - sums[i[:, 0]]) * down[i[:, 0]]))
+        begins.append(i[:, 0] + at)
+        at = to
+    return (np.concatenate(hashes), np.concatenate(begins)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def streams(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its shingles of lower-cased (A-Z) words in order.
+
+    A text of fewer words than size is one shingle, a null or blank one has none.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    h, at = _word_hashes(b"\n".join(raw).lower())
+    n = np.diff(np.searchsorted(at, np.cumsum([0, *[len(x) + 1 for x in raw]])))
+    first = np.cumsum(n) - n
+    made = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    ends = np.cumsum(made)
+    doc = np.repeat(np.arange(len(n)), n)
+    total = max(0, len(h) - size + 1)
+
+    def joined(begin: np.ndarray | slice, words: int) -> np.ndarray:
+        out = None
+        for k in range(words):
+            x = h[k : k + total] if isinstance(begin, slice) else h[begin + k]
+            out = _mix((np.uint64(0x9E3779B97F4A7C15 * words & 0xFFFFFFFFFFFFFFFF) if out is None else out) + x)
+        return out
+
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    whole = np.ones(len(out), bool)
+    for k in range(1, size):
+        few = np.flatnonzero(n == k)
+        out[(ends - 1)[few]] = joined(first[few], k) if len(few) else 0
+        whole[(ends - 1)[few]] = False
+    if total:
+        out[whole] = joined(slice(0), size)[doc[:total] == doc[size - 1 :]]
+    return np.split(out, ends[:-1]) if len(ends) else []
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_stream(text, size))
+    return np.unique(streams([text], size)[0])
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -108,8 +152,7 @@ def _sketcher(size: int):
 
         for b in rows_by_chars(batches, 1):
             n, digest, regs = [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, size)
+            for s in map(np.unique, streams(b.column(1).to_pylist(), size)):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(registers(s).tobytes())
@@ -164,7 +207,7 @@ def _sets(size: int):
         import pyarrow as pa
 
         for b in rows_by_chars(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(s).tobytes() for s in streams(b.column(1).to_pylist(), size)], pa.binary())], names=["id", "s"])
 
     return run
 
@@ -195,8 +238,8 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, per
     info = reps.select(F.col("id"), "n", "regs")
     wide = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a").join(info.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
     likely = stored(wide.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_plausible(percent), "a long, b long"), "pairs")
-    used = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(used, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary")
+    used = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(docs.join(used, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary"), "sets")
     two = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     return two.select("a", "b", "s_a", "s_b").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -219,6 +262,36 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "comp")
 
 
+def _spread(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        if sets:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(np.concatenate(sets))], names=["id", "s"])
+
+
+def by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (id_a, id_b) of members (id, n, comp) of different components that may link; none that links is left out.
+
+    Sets alike enough share one of their n - ceil(n * percent / 100) + 1 rarest shingles, and the first shared one, at
+    places p and q of the two orders by rarity, leaves room for enough others: min(n_a - p, n_b - q). A shingle's
+    members of its largest component meet those of others alone. What a text has rarely is what sets it apart, so
+    members of a large group that nothing links with meet few.
+    """
+    sets = stored(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary"), "sets")
+    rows = sets.mapInArrow(_spread, "id long, s long").distinct()
+    seen = rows.groupBy("s").agg(F.count("*").alias("c"))
+    order = rows.join(seen, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    first = order.join(members, "id").select("id", "n", "comp", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("p", "x"))
+    first = stored(first.where("x.c > 1").select("id", "n", "comp", "p", F.col("x.s").alias("s")), "rarest")
+    top = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("s", "top")
+    left = first.join(top, "s").where("comp <> top").select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "comp", "p")])
+    right = first.select(F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "comp", "p")])
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    return left.join(right, (F.col("s") == F.col("t")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("id_a", "id_b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -227,11 +300,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reachable; of rows that repeat a doc_id all get the same answer from their own texts' links together. A null
     doc_id is its own component (null) and kept.
 
-    Equal sets are one class with its least doc_id for it. A class meets the least member of each of its buckets
-    first. While more pairs than are in proportion to the classes share a bucket but no component, every bucket is led
-    by another member, whom those of other components meet. In the end all pairs of different components that share a
-    bucket are taken, each in the first bucket it shares, but for those whose equal registers lie DEVIATIONS standard
-    deviations below the threshold. No bucket is cut short.
+    Equal sets are one class with its least doc_id for it. A class first meets the most central member of each of its
+    buckets (the one whose buckets hold most rows), which makes most of a large group one component. Of buckets that
+    still hold several components, those of up to DIRECT rows have all pairs of different components taken, each in
+    the first bucket it shares, but for those whose equal registers lie DEVIATIONS standard deviations below the
+    threshold. The members of larger ones are joined on their rarest shingles (see by_rarity), which finds every link
+    among them. No bucket is cut short.
     """
     spark = ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
@@ -240,37 +314,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = classes.select("id", "n", "regs")
     keys = stored(reps.mapInArrow(_bands, "id long, n long, keys array<bigint>"), "keys")
     band = keys.select("id", F.explode("keys").alias("k"))
-    lead = band.groupBy("k").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1")
-    tried = stored(_ordered(band.join(lead, "k").where("id <> b"), "id", "b"), "tried")
+    shared = stored(band.join(band.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"), "shared")
+    central = shared.groupBy("id").agg(F.sum("size").alias("c"))
+    lead = shared.join(central, "id").groupBy("k").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("b"))
+    tried = stored(_ordered(shared.join(lead, "k").where("id <> b"), "id", "b"), "tried")
     edges = stored(confirmed(tried, reps, docs, size, percent), "edges")
-    n_classes = classes.count()
-    for turn in range(ROUNDS):
-        comp = components(edges)
-        flat = stored(keys.select("id", F.explode("keys").alias("k")).join(comp, "id", "left").select("id", "k", F.coalesce("comp", "id").alias("comp")), "flat")
-        mixed = flat.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("lo < hi")
-        left = mixed.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
-        if left <= REGISTERS // BAND * n_classes:
-            break  # pairs in the buckets are in proportion to the classes: the rest can be tried one by one
-        star = _ordered(flat.join(mixed, "k").where("comp <> lead.comp").select("id", F.col("lead.id").alias("b")), "id", "b").join(tried, ["a", "b"], "left_anti")
-        star = stored(star, "tried")
-        more = stored(confirmed(star, reps, docs, size, percent), "edges")
-        tried, edges = tried.union(star), edges.union(more)
-        if not more.limit(1).count():
-            break
     comp = components(edges)
-    known = keys.join(comp, "id", "left").select("id", "n", "keys", F.coalesce("comp", "id").alias("comp"))
-    flat = known.select("id", "n", "comp", F.explode("keys").alias("k"))
+    flat = shared.join(comp, "id", "left").select("id", "k", "size", F.coalesce("comp", "id").alias("comp"))
     mixed = flat.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    rest = flat.join(mixed, "k")
-    wide = keys.select("id", "keys").join(reps.mapInArrow(_open, "id long, r array<int>"), "id").join(rest.select("id").distinct(), "id", "left_semi")
-    rest = rest.join(wide, "id")
-    left, right = (rest.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "keys", "r")]) for s in "ab")
+    rest = stored(flat.join(mixed, "k"), "mixed")
+    few = rest.where(F.col("size") <= DIRECT)
+    wide = keys.join(reps.mapInArrow(_open, "id long, r array<int>"), "id").join(few.select("id").distinct(), "id", "left_semi")
+    few = few.join(wide, "id")
+    left, right = (few.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "keys", "r")]) for s in "ab")
     same = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
     p = percent / 100
     enough = REGISTERS * p - DEVIATIONS * (REGISTERS * p * (1 - p)) ** 0.5
     cross = left.join(right, (left["k"] == right["k"]) & (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == left["k"]) & (same >= enough))
-    cross = _ordered(cross, "id_a", "id_b").join(tried, ["a", "b"], "left_anti")
-    more = confirmed(cross, reps, docs, size, percent)
+    cross = cross.select("id_a", "id_b").union(by_rarity(docs, rest.where(F.col("size") > DIRECT).select("id", "comp").distinct().join(reps.select("id", "n"), "id"), size, percent))
+    more = confirmed(_ordered(cross, "id_a", "id_b").join(tried, ["a", "b"], "left_anti"), reps, docs, size, percent)
     edges = comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)
     # rows that repeat a doc_id with another text tie their classes together
     same = sketch.where("digest is not null and doc_id is not null").select("doc_id", "digest").distinct().join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
