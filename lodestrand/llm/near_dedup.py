@@ -22,6 +22,8 @@ BASE, RATE, TOP = 1.0005, 20.0, (1 << 16) - 2
 DEVIATIONS = 5.0
 #: Rows of a bucket beyond which its pairs are not taken one by one but found by the sets' rarest shingles.
 DIRECT = 64
+#: Shingles of more members than this are ordered by hash alone.
+RARE = 64
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -271,20 +273,42 @@ def _spread(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(np.concatenate(sets))], names=["id", "s"])
 
 
+def _rarest(percent: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for i, s, own, rare in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                s, own, rare = np.frombuffer(s, np.int64), np.array(own or (), np.int64), np.array(rare or (), np.int64)
+                own, rare = own[np.isin(own, s)], rare[np.isin(rare, s)]  # where rows repeat an id
+                last = len(s) + (-len(s) * percent // 100) + 1  # places of the order in which alike sets must share one
+                order = np.concatenate((rare, s[~np.isin(s, np.concatenate((own, rare)))]))[: max(0, last - len(own))]
+                cols[0].append(np.full(len(order), i))
+                cols[1].append(np.arange(len(own), len(own) + len(order), dtype=np.int32))
+                cols[2].append(order)
+                cols[3].append(np.full(len(order), len(s)))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["id", "p", "s", "n"])
+
+    return run
+
+
 def by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (id_a, id_b) of members (id, n, comp) of different components that may link; none that links is left out.
+    """Pairs (id_a, id_b) of members (id, comp) of different components that may link; none that links is left out.
 
-    Sets alike enough share one of their n - ceil(n * percent / 100) + 1 rarest shingles, and the first shared one, at
+    Shingles are ordered by how many members have them, those of more than RARE members last and by hash. Sets alike
+    enough share one of their first n - ceil(n * percent / 100) + 1 shingles of any one order, and the first shared one, at
     places p and q of the two orders by rarity, leaves room for enough others: min(n_a - p, n_b - q). A shingle's
     members of its largest component meet those of others alone. What a text has rarely is what sets it apart, so
     members of a large group that nothing links with meet few.
     """
     sets = stored(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary"), "sets")
-    rows = sets.mapInArrow(_spread, "id long, s long").distinct()
-    seen = rows.groupBy("s").agg(F.count("*").alias("c"))
-    order = rows.join(seen, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
-    first = order.join(members, "id").select("id", "n", "comp", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("p", "x"))
-    first = stored(first.where("x.c > 1").select("id", "n", "comp", "p", F.col("x.s").alias("s")), "rarest")
+    rows = sets.mapInArrow(_spread, "id long, s long")
+    seen = rows.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
+    rare = rows.join(seen, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o")).select("id", F.filter("o", lambda x: x["c"] == 1)["s"].alias("own"), F.filter("o", lambda x: x["c"] > 1)["s"].alias("rare"))
+    first = sets.join(rare, "id", "left").select("id", "s", "own", "rare").mapInArrow(_rarest(percent), "id long, p int, s long, n long")
+    first = stored(first.join(members, "id").select("id", "n", "comp", "p", "s"), "rarest")
     top = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("s", "top")
     left = first.join(top, "s").where("comp <> top").select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "comp", "p")])
     right = first.select(F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "comp", "p")])
@@ -331,7 +355,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     p = percent / 100
     enough = REGISTERS * p - DEVIATIONS * (REGISTERS * p * (1 - p)) ** 0.5
     cross = left.join(right, (left["k"] == right["k"]) & (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == left["k"]) & (same >= enough))
-    cross = cross.select("id_a", "id_b").union(by_rarity(docs, rest.where(F.col("size") > DIRECT).select("id", "comp").distinct().join(reps.select("id", "n"), "id"), size, percent))
+    cross = cross.select("id_a", "id_b").union(by_rarity(docs, rest.where(F.col("size") > DIRECT).select("id", "comp").distinct(), size, percent))
     more = confirmed(_ordered(cross, "id_a", "id_b").join(tried, ["a", "b"], "left_anti"), reps, docs, size, percent)
     edges = comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)
     # rows that repeat a doc_id with another text tie their classes together
