@@ -77,6 +77,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of Latin letters, digits and ASCII signs, without an apostrophe or wide white space, and their runs.
 _PLAIN = re.compile(r"(?!\n)(?:[!-&(-~À-ÖØ-öø-ÿŒœ]|\n(?!\n))+").fullmatch
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ]+|[0-9]+|[^A-Za-zÀ-ÖØ-öø-ÿŒœ0-9\n]+|\n").findall
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿŒœ]+").fullmatch
+TOGETHER = 4096
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -86,7 +88,8 @@ class Encoder:
     For both vocabularies used here a cut at a space whose left neighbour is no white space leaves the ids
     unchanged: a byte-level pre-token begins with at most that one space, and the word-level one drops it.
     Texts with wider white space are cut only where both neighbours are not white space. A piece that is not cached
-    is cut again into runs of letters, digits and signs where all are Latin, as both vocabularies do themselves.
+    is cut again into runs of letters, digits and signs where all are Latin, as both vocabularies do themselves. New
+    runs of letters are encoded many at a time, parted by something that is a token of its own beside any of them.
     Control strings inside a text are ordinary text.
     """
 
@@ -97,6 +100,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead = " " if byte_level else ""
+        self.part = "\n" if byte_level else " 7 "
+        (self.part_id,) = self.tok.encode(self.part, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.most = most
@@ -104,6 +109,20 @@ class Encoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _letter_ids(self, runs: list[str]) -> list[bytes]:
+        import numpy as np
+
+        out = []
+        chunks = [runs[a : a + TOGETHER] for a in range(0, len(runs), TOGETHER)]
+        for c, e in zip(chunks, self.tok.encode_batch_fast([self.part.join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.part_id), len(ids)) * 4
+            raw = ids.tobytes()
+            out += [raw[a:z] for a, z in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+        if len(out) != len(runs):
+            raise ValueError("the vocabulary joins runs of letters over what parts them")
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
         lead, runs = self.lead, self.runs
         if len(runs) > self.most:
@@ -117,9 +136,11 @@ class Encoder:
             else:
                 cut.append([lead + x])
         if new := list(set().union(*cut).difference(runs)):
-            runs.update(zip(new, self._ids(new), strict=True))
+            letters, rest = [x for x in new if _LETTERS(x)], [x for x in new if not _LETTERS(x)]
+            runs.update(zip(letters, self._letter_ids(letters), strict=True))
+            runs.update(zip(rest, self._ids(rest), strict=True))
         get = runs.__getitem__
-        self.cache.update(zip(pieces, [b"".join(map(get, r)) for r in cut], strict=True))
+        self.cache.update(zip(pieces, [get(r[0]) if len(r) == 1 else b"".join(map(get, r)) for r in cut], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
