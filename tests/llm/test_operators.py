@@ -307,3 +307,22 @@ def test_site_template_without_an_article(spark):
     page = "<body><div><div>Same on every page of this site</div><div>Own words {0} here</div></div></body>"
     got = html_extract.extract(spark.createDataFrame([(i, "http://s.example/a", page.format(i)) for i in range(10)], "page_id long, url string, html string")).collect()
     assert all(r.text == f"Own words {r.page_id} here" for r in got)
+
+
+def hashed(t, k=5):
+    return near_dedup.streams([t], k)[0].astype(np.uint32)
+
+
+def test_passages_beyond_the_least_document(spark):
+    rng = random.Random(11)
+    line = min((prose(5, rng) for _ in range(4000)), key=lambda t: int(near_dedup._mix(near_dedup.streams([t], 5)[0] ^ substring_dedup._SEEDS[0])[0] >> np.uint64(32)))
+    shared = [f"{prose(30, rng)} {line} {prose(30, rng)}" for _ in range(3)]
+    rows = [(0, f"{prose(60, rng)} {line} {prose(60, rng)}")] + [(1 + i, f"{prose(60, rng)} {shared[i % 3]} {prose(60, rng)}") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in substring_dedup.repeated_passages(df, hashes=1).collect():
+        got.setdefault(r.doc_id, set()).add(r.other_id)
+    for i, t in rows:
+        brute = {j for j, u in rows if j < i and substring_dedup.passages(hashed(t), hashed(u), 46, 80)}
+        assert bool(brute) == bool(got.get(i)) and got.get(i, set()) <= brute
+    assert sorted(got) == list(range(4, 25))
