@@ -326,3 +326,15 @@ def test_passages_beyond_the_least_document(spark):
         brute = {j for j, u in rows if j < i and substring_dedup.passages(hashed(t), hashed(u), 46, 80)}
         assert bool(brute) == bool(got.get(i)) and got.get(i, set()) <= brute
     assert sorted(got) == list(range(4, 25))
+
+
+@pytest.mark.parametrize(("words", "gap"), [(60, 11), (60, 14), (55, 9), (55, 14), (70, 13)])
+def test_passages_parted_by_other_words(words, gap):
+    rng = random.Random(words * gap)
+    parts = [prose(words, rng) for _ in range(4)]
+    x, y = (hashed(f"{prose(30, rng)} " + f" {prose(gap, rng)} ".join(p for p in parts) + f" {prose(30, rng)}") for _ in range(2))
+    for u, v in ((x, y), (y, x)):
+        got = substring_dedup.passages(u, v, 46, 80)
+        for k in range(4):  # each passage lies in what is found, but for a few words at its ends
+            a = 30 + k * (words + gap)
+            assert any(s <= a + 2 and z >= a + words - 6 for s, z, *_ in got)
