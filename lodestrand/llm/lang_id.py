@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram is the product of its letters' vectors, each rotated by its
+Every letter has a random vector of +1 and -1, made from a hash of its code point. An n-gram is the product of its letters' vectors, each rotated by its
 place; a text is the sum of its n-grams, a language the sum of its texts. Texts are compared with languages by cosine.
 """
 
@@ -11,40 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only, ready, rows_by_chars
+from .near_dedup import _mix
 
 DIMENSIONS = 1024
-SYMBOLS = 64
 TRAIN_ROWS = 40_000
 MAX_LANGS = 1024
 TEMPERATURE = 0.05
-_OWN = "abcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëîïñóôöøúùûüœ"
+_BITS = 21
 _tables: dict = {}
 
 
-def _symbols() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its symbol (0: no letter); by rotation and symbol: a vector."""
+def _letters() -> np.ndarray:
+    """By code point: the lower-case letter it stands for; 0: no letter."""
     if not _tables:
-        table = np.zeros(0x110000, np.int32)
-        rest = SYMBOLS - 1 - len(_OWN)
+        table = np.zeros(0x110000, np.int64)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                low = c.lower()[0]
-                table[cp] = 1 + (k if (k := _OWN.find(low)) >= 0 else len(_OWN) + (ord(low) >> 4) * 2654435761 % (1 << 32) % rest)
-        base = np.random.default_rng(20240229).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIMENSIONS))
-        _tables["at"] = table, np.stack([np.roll(base, r, 1) for r in (2, 1, 0)])
+                table[cp] = ord(c.lower()[0])
+        _tables["at"] = table
     return _tables["at"]
 
 
+def _vectors(letters: np.ndarray) -> np.ndarray:
+    """By rotation and letter: its vector of +1 and -1, whose bits are hashes of the code point."""
+    x = _mix((letters.astype(np.uint64)[:, None] << np.uint64(8)) + np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    bits = np.unpackbits(_mix(x).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    base = bits.astype(np.int8) * np.int8(2) - np.int8(1)
+    return np.stack([np.roll(base, r, 1) for r in (2, 1, 0)])
+
+
 def _trigrams(text: str) -> np.ndarray:
     """The codes of a text's letter trigrams; each run of other characters counts as one space."""
-    table, _ = _symbols()
-    s = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    s = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
     s = np.concatenate(([0], s, [0]))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     s = s[keep]
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if len(s) > 2 else np.zeros(0, np.int32)
+    return (s[:-2] << 2 * _BITS) | (s[1:-1] << _BITS) | s[2:] if len(s) > 2 else np.zeros(0, np.int64)
 
 
 def profiles(texts: list[str | None], most_cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
@@ -52,35 +56,36 @@ def profiles(texts: list[str | None], most_cells: int = 1 << 21) -> tuple[np.nda
 
     A trigram weighs the root of its count in sixteenths: sums of whole numbers come out the same in any batch.
     """
-    _, vectors = _symbols()
     out, has = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
     piece = 1 << 20
-    codes = [[_trigrams(t[max(0, a - 2) : a + piece]) for a in range(0, len(t), piece)] if t else [] for t in texts]
-    flag = np.zeros(SYMBOLS**3, bool)
-    for c in codes:
-        for x in c:
-            flag[x] = True
-    used = np.flatnonzero(flag)
-    if not len(used):
+    codes, times = [], []
+    for t in texts:
+        found = [_trigrams(t[max(0, a - 2) : a + piece]) for a in range(0, len(t), piece)] if t else []
+        x, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        codes.append(x)
+        times.append(np.rint(16 * np.sqrt(n.astype(np.float32))))
+    lens = np.array([len(x) for x in codes], np.int64)
+    if not lens.sum():
         return out, has
-    small = np.zeros(SYMBOLS**3, np.int32)
-    small[used] = np.arange(len(used))
-    a, b, c = used // SYMBOLS**2, used // SYMBOLS % SYMBOLS, used % SYMBOLS
+    used, place = np.unique(np.concatenate(codes), return_inverse=True)
+    weight, ends = np.concatenate(times), np.cumsum(lens)
+    low = (1 << _BITS) - 1
+    letters, at = np.unique(np.concatenate([used >> 2 * _BITS, used >> _BITS & low, used & low]), return_inverse=True)
+    a, b, c = at.reshape(3, -1)
+    vectors = _vectors(letters)
     step = max(1, most_cells // len(used))
-    counts = np.zeros((min(step, len(texts)), len(used)), np.float32)
-    for at in range(0, len(texts), step):
-        block = codes[at : at + step]
-        counts[:] = 0
-        for row, xs in zip(counts, block, strict=False):
-            for x in xs:
-                row += np.bincount(small[x], minlength=len(used))
-        got = np.zeros((len(block), DIMENSIONS), np.float32)
-        for k in range(0, len(used), 4096):
-            z = slice(k, k + 4096)
-            got += np.rint(16 * np.sqrt(counts[: len(block), z])) @ (vectors[0][a[z]] * vectors[1][b[z]] * vectors[2][c[z]])
+    for k in range(0, len(texts), step):
+        n = min(step, len(texts) - k)
+        span = slice(int(ends[k] - lens[k]), int(ends[k + n - 1]))
+        counts = np.zeros((n, len(used)), np.float32)
+        counts[np.repeat(np.arange(n), lens[k : k + n]), place[span]] = weight[span]
+        got = np.zeros((n, DIMENSIONS), np.float32)
+        for u in range(0, len(used), 4096):
+            z = slice(u, u + 4096)
+            got += counts[:, z] @ (vectors[0][a[z]] * vectors[1][b[z]] * vectors[2][c[z]]).astype(np.float32)
         norm = np.sqrt((got.astype(np.float64) ** 2).sum(1, keepdims=True))
-        out[at : at + step] = got / np.where(norm, norm, 1)
-        has[at : at + step] = [any(len(x) for x in xs) for xs in block]
+        out[k : k + n] = got / np.where(norm, norm, 1)
+        has[k : k + n] = lens[k : k + n] > 0
     return out, has
 
 

@@ -338,3 +338,20 @@ def test_passages_parted_by_other_words(words, gap):
         for k in range(4):  # each passage lies in what is found, but for a few words at its ends
             a = 30 + k * (words + gap)
             assert any(s <= a + 2 and z >= a + words - 6 for s, z, *_ in got)
+
+
+@pytest.mark.parametrize("first", [0x3B1, 0x430, 0x627, 0x5D0, 0x10D0])
+def test_letters_of_one_script_tell_languages_apart(first):
+    letters = [chr(c) for c in range(first, first + 24) if chr(c).isalpha()]
+    vecs = lang_id._vectors(np.array([ord(c) for c in letters]))[0]
+    assert len(np.unique(vecs, axis=0)) == len(letters)
+    rng = random.Random(first)
+    words = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)] for _ in range(4)]
+    make = lambda k: " ".join(rng.choice(words[k]) for _ in range(80))
+    protos = np.array([lang_id.profiles([make(k) for _ in range(20)])[0].sum(0) for k in range(4)])
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    mean = protos.mean(0)
+    model = np.concatenate([[mean], (protos - mean) / np.linalg.norm(protos - mean, axis=1, keepdims=True)])
+    truth = [k for k in range(4) for _ in range(10)]
+    lang, score, _ = lang_id.predict(*lang_id.profiles([make(k) for k in truth]), list("abcd"), model)
+    assert lang == ["abcd"[k] for k in truth] and score.min() > 0.9
