@@ -355,3 +355,23 @@ def test_letters_of_one_script_tell_languages_apart(first):
     truth = [k for k in range(4) for _ in range(10)]
     lang, score, _ = lang_id.predict(*lang_id.profiles([make(k) for k in truth]), list("abcd"), model)
     assert lang == ["abcd"[k] for k in truth] and score.min() > 0.9
+
+
+def test_keys_of_letters_alone_are_scanned():
+    model = secret_scan.default_model()
+    rng = random.Random(21)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(100)]
+    texts = [f"the value of key: {k} was sent" for k in keys]
+    found = secret_scan.all_spans(texts, model)
+    assert sum((18, 3, 42) in x for x in found) >= 90
+    parts, labels = secret_scan.example_findings(1200, seed=98)
+    seen = [secret_scan.as_seen(p) for p, y in zip(parts, labels, strict=True) if y]
+    assert sum(p is not None and model.probability(model.logits([p]))[0] >= model.threshold for p in seen) >= 0.98 * len(seen)
+
+
+def test_threshold_keeps_the_recall_below_one_half():
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("abcdefgh12345678") for _ in range(20))
+    parts = [("", key(), "") for _ in range(800)]
+    model = secret_scan.CharCNN().fit(parts, np.array([rng.random() < 0.2 for _ in parts], np.float32), epochs=1)
+    assert model.threshold < 0.5  # labels without a pattern: every probability is near a fifth
