@@ -1,7 +1,7 @@
 """Main text of web pages, with each site's template taken out.
 
-Every page's element subtrees are hashed; Spark counts on how many pages of a host each hash lies, and subtrees that
-recur across many pages of their host are deleted before the text is read, besides elements that are never article text.
+Every page's element subtrees are hashed; Spark counts on how many pages of a host, different in their own text, each
+hash lies, and subtrees that recur across many of these are deleted before the text is read, besides elements that are never article text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import only, ready, rows_by_chars, stored
 
-MIN_PAGES, MIN_SHARE = 5, 0.3
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.3, 100
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)>?|[^<]+|<""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*|'[^']*|[^\s>]*))?""", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -133,7 +133,7 @@ def _hashed(root: Node, text_too: bool) -> dict[int, int]:
         for c in x.children:
             h.update(" ".join(c.split()) if isinstance(c, str) else by[id(c)])
         by[id(x)] = d = h.digest()
-        if x is not root and x.tag not in _INLINE and x.tag not in _DROP and (text_too or x.tag not in _TEXTUAL):
+        if x is not root and x.tag not in ("html", "body") and x.tag not in _INLINE and x.tag not in _DROP and (text_too or x.tag not in _TEXTUAL):
             out[id(x)] = int.from_bytes(d, "little", signed=True)
     return out
 
@@ -186,13 +186,15 @@ def host(url) -> F.Column:
 
 def _hash_rows(batches):
     import pyarrow as pa
+    import xxhash
 
     for b in rows_by_chars(batches, 1):
-        hosts, hashes = [], []
+        hosts, own, hashes = [], [], []
         for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             hosts.append(h)
+            own.append(xxhash.xxh3_64_intdigest(main_text(page)) - (1 << 63))
             hashes.append(sorted(template_hashes(page)) if page else [])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(own, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "own", "hashes"])
 
 
 def _extract(batches):
@@ -207,16 +209,16 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes of subtrees on at least min_pages pages and min_share of a host's pages.
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
+    """(host, template): hashes of subtrees on at least min_pages pages and min_share of a host's pages, or on `many`.
 
-    A page counts a subtree once. A host's list stays short whatever its size: with e subtrees on a page it is at
-    most e / min_share. Pages without a host have no site and no template.
+    Pages of a host with the same own text (the main text before templates are known) count as one, and a page counts a
+    subtree once. Html and body are never template. Pages without a host have no site and no template.
     """
-    rows = stored(only(pages, "url", "html").select(host(F.col("url")).alias("host"), "html").where("host <> '' and html is not null").mapInArrow(_hash_rows, "host string, hashes array<bigint>"), "subtrees")
-    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = rows.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    kept = often.join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
+    rows = stored(only(pages, "url", "html").select(host(F.col("url")).alias("host"), "html").where("host <> '' and html is not null").mapInArrow(_hash_rows, "host string, own bigint, hashes array<bigint>"), "subtrees")
+    total = rows.select("host", "own").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    often = rows.select("host", "own", F.explode("hashes").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    kept = often.join(total, "host").where((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many))
     return kept.groupBy("host").agg(F.collect_list("h").alias("template"))
 
 

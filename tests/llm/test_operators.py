@@ -375,3 +375,19 @@ def test_threshold_keeps_the_recall_below_one_half():
     parts = [("", key(), "") for _ in range(800)]
     model = secret_scan.CharCNN().fit(parts, np.array([rng.random() < 0.2 for _ in parts], np.float32), epochs=1)
     assert model.threshold < 0.5  # labels without a pattern: every probability is near a fifth
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div><section>Own words {0} here</section></div></body></html>"
+    copy = "<html><body><article><div>The copied article</div></article></body></html>"
+    bare = "<html><body><section>Copied without an article</section></body></html>"
+    pages = [(i, "http://c.example/a", page.format(i)) for i in range(6)] + [(10 + i, "http://c.example/b", copy) for i in range(10)] + [(30 + i, "http://c.example/c", bare) for i in range(10)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own words {i} here" if i < 10 else "The copied article" if i < 30 else "Copied without an article" for i, _, _ in pages}
+
+
+def test_block_on_a_fifth_of_a_large_host_is_template(spark):
+    page = "<body><div>Own words {0} here</div>{1}</body>"
+    pages = [(i, "http://l.example/a", page.format(i, "<div>Said on a fifth of the pages</div>" if i % 5 == 0 else "")) for i in range(600)]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Own words {r.page_id} here" for r in got)
