@@ -1,22 +1,24 @@
-"""Shared helpers of the training-data operators: scratch tables, worker paths, cached tokenizers."""
+"""Shared helpers of the training-data operators: scratch tables, worker paths, batches cut by size."""
 
 from __future__ import annotations
 
 import gc
 import os
-import re
 import tempfile
 import uuid
-from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+ARROW_BYTES = 8 << 20
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package, and give checkpoints a folder where the session has none."""
+    """Let Python workers find this package, hold Arrow batches to a size that several workers can hold at once, and give checkpoints a folder where the session has none."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -72,100 +74,11 @@ def rows_by_chars(batches, text_at: int, most_chars: int = 1 << 20, most_rows: i
             at = to
 
 
-_WIDE = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces of Latin letters, digits and ASCII signs, without an apostrophe or wide white space, and their runs.
-_PLAIN = re.compile(r"(?!\n)(?:[!-&(-~À-ÖØ-öø-ÿŒœ]|\n(?!\n))+").fullmatch
-_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ]+|[0-9]+|[^A-Za-zÀ-ÖØ-öø-ÿŒœ0-9\n]+|\n").findall
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿŒœ]+").fullmatch
-TOGETHER = 4096
-_encoders: dict[tuple, "Encoder"] = {}
-
-
-class Encoder:
-    """A tokenizers file with a bounded cache of the ids of pieces between single spaces.
-
-    For both vocabularies used here a cut at a space whose left neighbour is no white space leaves the ids
-    unchanged: a byte-level pre-token begins with at most that one space, and the word-level one drops it.
-    Texts with wider white space are cut only where both neighbours are not white space. A piece that is not cached
-    is cut again into runs of letters, digits and signs where all are Latin, as both vocabularies do themselves. New
-    runs of letters are encoded many at a time, parted by something that is a token of its own beside any of them.
-    Control strings inside a text are ordinary text.
-    """
-
-    def __init__(self, path: str, byte_level: bool, most: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.lead = " " if byte_level else ""
-        self.part = "\n" if byte_level else " 7 "
-        (self.part_id,) = self.tok.encode(self.part, add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.most = most
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _letter_ids(self, runs: list[str]) -> list[bytes]:
-        import numpy as np
-
-        out = []
-        chunks = [runs[a : a + TOGETHER] for a in range(0, len(runs), TOGETHER)]
-        for c, e in zip(chunks, self.tok.encode_batch_fast([self.part.join(c) for c in chunks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.part_id), len(ids)) * 4
-            raw = ids.tobytes()
-            out += [raw[a:z] for a, z in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
-        if len(out) != len(runs):
-            raise ValueError("the vocabulary joins runs of letters over what parts them")
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        lead, runs = self.lead, self.runs
-        if len(runs) > self.most:
-            runs.clear()
-        cut = []
-        for x in pieces:
-            if _PLAIN(x):
-                r = _RUNS(x if lead else x.lower())
-                r[0] = lead + r[0]
-                cut.append(r)
-            else:
-                cut.append([lead + x])
-        if new := list(set().union(*cut).difference(runs)):
-            letters, rest = [x for x in new if _LETTERS(x)], [x for x in new if not _LETTERS(x)]
-            runs.update(zip(letters, self._letter_ids(letters), strict=True))
-            runs.update(zip(rest, self._ids(rest), strict=True))
-        get = runs.__getitem__
-        self.cache.update(zip(pieces, [get(r[0]) if len(r) == 1 else b"".join(map(get, r)) for r in cut], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        gc.disable()  # many short-lived lists, none in a cycle
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) if _WIDE.search(t) else t.split(" ") for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        if need := set().union(*(x[1:] for x in cut)).difference(self.cache):
-            self._learn(list(need))
-        first = self._ids([x[0] for x in cut])
-        get = self.cache.__getitem__
-        return [a + b"".join(map(get, x[1:])) if len(x) > 1 else a for a, x in zip(first, cut, strict=True)]
-
-
-def encoder(path: str, byte_level: bool) -> Encoder:
-    """This worker's encoder for a file."""
-    if (path, byte_level) not in _encoders:
-        _encoders[path, byte_level] = Encoder(path, byte_level)
-    return _encoders[path, byte_level]
+def by_row(batches):
+    """Rows of Arrow batches one by one as dicts: of a batch of large rows one at a time becomes Python objects."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
 
 
 def vocabulary(name: str) -> str:

@@ -7,9 +7,9 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import encoder, only, ready, rows_by_chars, vocabulary
+from .common import only, ready, rows_by_chars, vocabulary
+from .encoding import encoder
 
-OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -102,18 +102,17 @@ def _packer(path: str, byte_level: bool, end_id: int, size: int, with_ids: bool)
                 n_seq += 1
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        for b in rows_by_chars(batches, 1):
+        for b in rows_by_chars(batches, 1, most_rows=4096):
             full = []
-            for d, x in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                x += end
-                total = len(x) // 4
+            flat, lens = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            data, ends = flat.astype("<u4").tobytes(), np.cumsum(lens).tolist()
+            for d, n, z in zip(b.column(0).to_pylist(), lens.tolist(), ends, strict=True):
+                x, total = data[4 * (z - n) : 4 * z] + end, n + 1
                 for at in range(0, total, size):
                     k = min(size, total - at)
                     piece = (d, at, x[4 * at : 4 * (at + k)], total)
                     if (seq := [piece] if k == size else levels.place(piece, k)) is not None:
                         full.append(seq)
-            if levels.n.sum() > OPEN:
-                full += levels.close()
             if full:
                 yield rows(full)
         if full := levels.close():
@@ -126,8 +125,9 @@ def pack(docs: DataFrame, vocab: str, end_id: int, byte_level: bool, size: int =
     """Pack all documents (null text: empty, which still has its end id) into sequences of at most size ids.
 
     Each partition of docs is packed online on its own, so nothing is shuffled: whole windows of a document longer
-    than size stand alone, its rest is placed by the sum-of-squares rule. Sequences still open at the end (or once
-    more than OPEN are) are closed by cutting pieces, and what remains is cut into powers of two, which need no padding.
+    than size stand alone, its rest is placed by the sum-of-squares rule. Sequences still open at a partition's end are
+    closed by cutting pieces, and what remains is cut into powers of two, which need no padding. Empty and very long
+    texts, ties between levels (the lowest is taken) and other columns change nothing in that.
     Repeated doc_ids stay separate documents. sequence_id is unique, not dense.
     """
     ready(docs.sparkSession)

@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, only, ready, rows_by_chars, scratch, vocabulary
+from .common import by_row, only, ready, rows_by_chars, scratch, vocabulary
+from .encoding import encoder
 
 SAMPLE = 256
 BLOCK_IDS = 1 << 20
@@ -65,18 +66,25 @@ class EliasFano:
                     break
         return (pos - i) << self.bits | int(self._lows(i, 1)[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n)) << self.bits | self._lows(0, self.n)
+    def select_run(self, k: int) -> np.ndarray:
+        """The values k * SAMPLE to (k + 1) * SAMPLE - 1, as far as there are any, from one sample on."""
+        i = k * SAMPLE
+        n = min(SAMPLE, self.n - i)
+        if n <= 0:
+            raise IndexError(i)
+        pos = int(self.samples[k])
+        to = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[pos // 8 : (to + 7) // 8], bitorder="little")[pos % 8 :])[:n] + pos
+        return (ones - np.arange(i, i + n)) << self.bits | self._lows(i, n)
 
     def nbytes(self) -> int:
         return self.low.nbytes + self.high.nbytes + self.samples.nbytes
 
 
-def _block(part: int, block: int, docs: list, ids: list[bytes]) -> dict:
-    data = np.frombuffer(b"".join(ids), "<u4")
-    width = 2 if not len(data) or int(data.max()) < 1 << 16 else 4
-    ef = EliasFano.of(np.cumsum([len(x) // 4 for x in ids]))
+def _block(part: int, block: int, docs: list, ids: list[np.ndarray]) -> dict:
+    data = np.concatenate(ids)
+    width = 2 if int(data.max()) < 1 << 16 else 4
+    ef = EliasFano.of(np.cumsum([len(x) for x in ids]))
     return {"part": part, "block": block, "n_docs": len(docs), "n_ids": len(data), "width": width, "doc_ids": docs, "ef_low": ef.low.tobytes(), "ef_high": ef.high.tobytes(), "ef_bits": ef.bits, "ef_select": ef.samples.tobytes(), "ids": data.astype(f"<u{width}").tobytes()}
 
 
@@ -89,16 +97,21 @@ def _writer(path: str, byte_level: bool, end_id: int, block_ids: int):
         schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
         enc, part, block = encoder(path, byte_level), TaskContext.get().partitionId(), 0
         docs, ids, n = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def flush():
             return pa.RecordBatch.from_pylist([_block(part, block, docs, ids)], schema=schema)
 
-        for b in rows_by_chars(batches, 1):
-            for d, x in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+        for b in rows_by_chars(batches, 1, most_rows=4096):
+            flat, lens = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            ends = np.cumsum(lens + 1)
+            out = np.full(len(flat) + len(lens), end_id, np.uint32)
+            inner = np.ones(len(out), bool)
+            inner[ends - 1] = False
+            out[inner] = flat
+            for d, a, z in zip(b.column(0).to_pylist(), (ends - lens - 1).tolist(), ends.tolist(), strict=True):
                 docs.append(d)
-                ids.append(x + end)
-                n += len(x) // 4 + 1
+                ids.append(out[a:z])
+                n += z - a
                 if n >= block_ids:
                     yield flush()
                     docs, ids, n, block = [], [], 0, block + 1
@@ -120,37 +133,83 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, byte_level
      .mapInArrow(_writer(vocab, byte_level, end_id, block_ids), SCHEMA).write.parquet(path))
 
 
+def _opened(r: dict) -> tuple[EliasFano, np.ndarray]:
+    return EliasFano(r["n_docs"], r["ef_bits"], r["ef_low"], r["ef_high"], r["ef_select"]), np.frombuffer(r["ids"], f"<u{r['width']}")
+
+
+def _rows(r: dict, doc_ids, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, with_ids: bool):
+    import pyarrow as pa
+
+    parts = [ids[a:z].astype("<u4") for a, z in zip(starts, ends, strict=True)]
+    out = {"doc_id": pa.array(doc_ids, pa.int64()), "part": pa.array([r["part"]] * len(ends), pa.int64()), "block": pa.array([r["block"]] * len(ends), pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64())}
+    if with_ids:
+        out["ids"] = pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_pydict(out)
+
+
 def _reader(with_ids: bool):
+    """All documents of every block, a run of SAMPLE boundaries at a time: no table of a block's boundaries is made."""
+
     def run(batches):
-        import pyarrow as pa
+        for r in by_row(batches):
+            ef, ids = _opened(r)
+            before = 0
+            for k in range(0, ef.n, SAMPLE):
+                ends = ef.select_run(k // SAMPLE)
+                yield _rows(r, r["doc_ids"][k : k + SAMPLE], np.concatenate(([before], ends[:-1])), ends, ids, with_ids)
+                before = int(ends[-1])
+
+    return run
 
-        for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                ends = EliasFano(r["n_docs"], r["ef_bits"], r["ef_low"], r["ef_high"], r["ef_select"]).all()
-                starts = np.concatenate(([0], ends[:-1]))
-                out = {"doc_id": pa.array(r["doc_ids"], pa.int64()), "part": pa.array([r["part"]] * len(ends), pa.int64()), "block": pa.array([r["block"]] * len(ends), pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64())}
-                parts = [ids[a:z] for a, z in zip(starts, ends, strict=True)]
-                out["ids_crc32"] = pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64())
-                if with_ids:
-                    out["ids"] = pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict(out)
+
+def _finder(wanted: np.ndarray):
+    """The wanted documents alone: a document's boundaries are two selects."""
+
+    def run(batches):
+        for r in by_row(batches):
+            have = np.array([-1 if x is None else x for x in r["doc_ids"]], np.int64)
+            at = np.flatnonzero(np.isin(have, wanted) & np.array([x is not None for x in r["doc_ids"]], bool))
+            if len(at):
+                ef, ids = _opened(r)
+                ends = np.array([ef.select(int(i)) for i in at], np.int64)
+                starts = np.array([ef.select(int(i) - 1) if i else 0 for i in at], np.int64)
+                yield _rows(r, have[at], starts, ends, ids, True)
 
     return run
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Per document of the files: doc_id, start (ids before it in the whole table), n_tokens, ids_crc32 and, if asked, ids."""
-    ready(spark)
-    blocks = spark.read.schema(SCHEMA).parquet(path)
+def _based(blocks: DataFrame, docs: DataFrame, with_ids: bool) -> DataFrame:
+    """Documents with their start in the whole table: blocks' sizes are summed within a part, parts' sizes over parts."""
     sizes = blocks.select("part", "block", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     base = sizes.join(before, "part").select("part", "block", (F.col("before") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")).alias("base"))
-    docs = blocks.select("part", "block", "n_docs", "width", "doc_ids", "ef_low", "ef_high", "ef_bits", "ef_select", "ids").mapInArrow(_reader(with_ids), "doc_id long, part long, block long, at long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids)
     return docs.join(base, ["part", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return ready(spark).read.schema(SCHEMA).parquet(path)
+
+
+ROWS = "doc_id long, part long, block long, at long, n_tokens long, ids_crc32 long"
+IN_BLOCK = ("part", "block", "n_docs", "width", "doc_ids", "ef_low", "ef_high", "ef_bits", "ef_select", "ids")
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """Per document of the files: doc_id, start (ids before it in the whole table), n_tokens, ids_crc32 and, if asked, ids."""
+    blocks = _blocks(spark, path)
+    docs = blocks.select(*IN_BLOCK).mapInArrow(_reader(with_ids), ROWS + ", ids array<bigint>" * with_ids)
+    return _based(blocks, docs, with_ids)
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The same with ids, of the documents named (a list that the driver holds), of which a block's others are not decoded."""
+    blocks = _blocks(spark, path)
+    wanted = np.array(sorted(set(doc_ids)), np.int64)
+    docs = blocks.select(*IN_BLOCK).mapInArrow(_finder(wanted), ROWS + ", ids array<bigint>")
+    return _based(blocks, docs, True)
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids in the block format, read the files back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch(ready(spark), "tokens")

@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with nulls, empty, repeated, tied and long rows."""
 
+import functools
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat_format, common, decontam, fingerprints, html_extract, lang_id, near_dedup, packing, secret_scan, substring_dedup, token_output
+from lodestrand.llm import chat_format, common, decontam, encoding, fingerprints, html_extract, lang_id, near_dedup, packing, secret_scan, substring_dedup, token_output
 
 RNG = random.Random(7)
 WORDS = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -35,29 +36,53 @@ def plain(docs):
     return common.only(docs, "doc_id", "text")
 
 
+ATOMS = ["'s", "'ll", " ", "  ", "\n", "\n\n", "\t", "don't", "word", "Wörld", "Ünï", "Œuvre", "œ", "É", "ÿ", "Ÿ", "×", "÷", "12", "7", "3.14", "...", "<|endoftext|>", "\u00a0", "\u3000", "日本", "\u0301", "é", "’", "“x”", "\r\n", "ſ", "ß", "İ", "\x00", "\x7f", "½", "²", "x" * 70, " -", "_", "\u200b", "\x85", "\x1c", "A", "b", "Ħ", "A\u030a", "Å"]
+
+
 def none_like(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
-def ids_of(text, name, end, byte_level):
+@functools.cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(common.vocabulary(name))
     tok.encode_special_tokens = True
+    return tok
+
+
+def ids_of(text, name, end, byte_level):
+    tok = tokenizer(name)
     return np.array([*tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize(("name", "byte_level"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_encoding_is_the_tokenizers(name, byte_level):
     texts = [t or "" for t in TEXTS] + ["don't  stop", " a", "a ", "\n x\n\ny", "ÀÉ œuvre d'été 12'34 --- ...", "中文 字 😀😀 x", "　a b c", "x\r\n y"]
-    got = common.Encoder(common.vocabulary(name), byte_level).encode(texts)
-    assert [g for g in got] == [ids_of(t, name, 0, byte_level)[:-1].tobytes() for t in texts]
+    check = lambda enc, some: [x.tolist() for x in np.split(*(lambda ids, n: (ids, np.cumsum(n)[:-1]))(*enc.encode(some)))] == [ids_of(t, name, 0, byte_level)[:-1].tolist() for t in some]
+    assert check(encoding.Encoder(common.vocabulary(name), byte_level), texts)
+    rng, small = random.Random(5), encoding.Encoder(common.vocabulary(name), byte_level, most=200)
+    for _ in range(20):  # a table that is full again and again
+        assert check(small, ["".join(rng.choice(ATOMS) for _ in range(rng.randint(0, 12))) for _ in range(100)])
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    monkeypatch.setattr(encoding, "PIECE_CHARS", 300)
+    enc = encoding.Encoder(common.vocabulary("byte_bpe_50k.json"), True)
+    texts = [prose(500), "", "x" * 2000, " \n " * 300, prose(200) + "\n\n  " + prose(200), "é’ " * 400]
+    ids, n = enc.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [ids_of(t, "byte_bpe_50k.json", 0, True)[:-1].tolist() for t in texts]
+    assert enc.encode([])[0].tolist() == []
 
 
 def test_elias_fano_selects_every_end():
     for values in ([], [0], [0, 0, 0], sorted(RNG.randrange(10**6) for _ in range(3000)), list(range(700))):
         ef = token_output.EliasFano.of(np.array(values, np.int64))
-        assert ef.all().tolist() == values and [ef.select(i) for i in range(len(values))] == values
+        assert [ef.select(i) for i in range(len(values))] == values
+        assert [int(x) for k in range(0, len(values), token_output.SAMPLE) for x in ef.select_run(k // token_output.SAMPLE)] == values
+        n, top = len(values), max(values, default=0) + 1
+        assert 8 * ef.nbytes() <= n * (2 + max(0, (top // max(n, 1)).bit_length())) + 64  # near n * (2 + log2(u / n)) bits
 
 
 def test_token_files_round_trip(spark, docs):
@@ -69,6 +94,12 @@ def test_token_files_round_trip(spark, docs):
     for r, (i, ids) in zip(got, want, strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (i, at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         at += len(ids)
+    some = token_output.read_documents(spark, path, [0, 8, 12, 4000]).collect()
+    whole = {r.doc_id: r for r in got}
+    assert sorted(r.doc_id for r in some) == [0, 8, 12] and all(r == whole[r.doc_id] for r in some)
+    empty = common.scratch(spark, "t")
+    token_output.write_tokens(none_like(spark), empty, common.vocabulary("byte_bpe_50k.json"), 2)
+    assert token_output.read_tokens(spark, empty).count() == 0
 
 
 def test_packing_covers_every_id_once(spark, docs):
