@@ -47,14 +47,32 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files under a table made by stored(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lodestrand-" in top:
-            p = jvm.org.apache.hadoop.fs.Path(top)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files under tables made by stored(), once nothing reads them any more, and let Spark delete shuffle files that nothing reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lodestrand-" in top:
+                p = jvm.org.apache.hadoop.fs.Path(top)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+#: Ids that are broadcast at most; each takes some 30 bytes there.
+FEW_IDS = 2_000_000
+
+
+def among(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is among ids, or is not with how="left_anti".
+
+    ids: a stored table of one column, distinct, named as the key is in df. Up to FEW_IDS of them are broadcast, so
+    that df, with its texts, stays where it is; more are joined by a shuffle.
+    """
+    (key,) = ids.columns
+    return df.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, key, how)
 
 
 def rows_by_chars(batches, text_at: int, most_chars: int = 1 << 20, most_rows: int = 512):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, ready, rows_by_chars, stored
+from .common import among, drop_stored, only, ready, rows_by_chars, stored
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.0005, 20.0, (1 << 16) - 2
@@ -163,15 +163,9 @@ def _sketcher(size: int):
     return run
 
 
-def _bands(batches):
-    import pyarrow as pa
-    import xxhash
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = [[xxhash.xxh3_64_intdigest(r[a : a + 2 * BAND], a) - (1 << 63) for a in range(0, 2 * REGISTERS, 2 * BAND)] for r in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "keys"])
+def _keys() -> F.Column:
+    """The keys of a set's bands: hashes of BAND registers and the band's place."""
+    return F.array(*[F.xxhash64(F.substring("regs", 2 * a + 1, 2 * BAND), F.lit(a)) for a in range(0, REGISTERS, BAND)])
 
 
 def _open(batches):
@@ -219,31 +213,30 @@ def _confirm(percent: int):
         import pyarrow as pa
 
         for b in batches:
-            keep = []
-            last, x = None, None
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if s is not last:
-                    last, x = s, np.frombuffer(s, np.uint64)
-                y = np.frombuffer(t, np.uint64)
+            keep = np.zeros(b.num_rows, bool)
+            for i, (s, t) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)  # read where Arrow has them
                 if len(x) > len(y):
-                    both = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
-                else:
-                    both = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-                keep.append(100 * int(both) >= percent * (len(x) + len(y) - int(both)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets are alike enough; only documents in pairs are shingled again."""
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole shingle sets are alike enough: a stored table.
+
+    A set goes to the pairs in which it is a, and once to the place where the sets of all its partners meet it.
+    """
     info = reps.select(F.col("id"), "n", "regs")
     wide = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a").join(info.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
     likely = stored(wide.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_plausible(percent), "a long, b long"), "pairs")
-    used = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(docs.join(used, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary"), "sets")
     two = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
-    return two.select("a", "b", "s_a", "s_b").mapInArrow(_confirm(percent), "a long, b long")
+    found = stored(two.select("a", "b", "s_a", "s_b").mapInArrow(_confirm(percent), "a long, b long"), "edges")
+    drop_stored(likely)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,9 +252,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("comp", "m").alias("c"), F.col("comp").alias("old"))
         jump = labels.select(F.col("id").alias("c"), F.col("comp").alias("cc"))
         new = stored(low.join(jump, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("comp"), "old"), "labels")
-        if not new.where("comp <> old").limit(1).count():
-            return new.select("id", "comp")
+        changed = new.where("comp <> old").limit(1).count()
+        drop_stored(labels, *[] if changed else [both])
         labels = new.select("id", "comp")
+        if not changed:
+            return labels
 
 
 def _spread(batches):
@@ -294,7 +289,7 @@ def _rarest(percent: int):
     return run
 
 
-def by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def by_rarity(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (id_a, id_b) of members (id, comp) of different components that may link; none that links is left out.
 
     Shingles are ordered by how many members have them, those of more than RARE members last and by hash. Sets alike
@@ -303,7 +298,7 @@ def by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) -> D
     members of its largest component meet those of others alone. What a text has rarely is what sets it apart, so
     members of a large group that nothing links with meet few.
     """
-    sets = stored(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary"), "sets")
+    sets = sets.join(members.select("id"), "id", "left_semi")
     rows = sets.mapInArrow(_spread, "id long, s long")
     seen = rows.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
     rare = rows.join(seen, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o")).select("id", F.filter("o", lambda x: x["c"] == 1)["s"].alias("own"), F.filter("o", lambda x: x["c"] > 1)["s"].alias("rare"))
@@ -313,7 +308,9 @@ def by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) -> D
     left = first.join(top, "s").where("comp <> top").select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "comp", "p")])
     right = first.select(F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "comp", "p")])
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    return left.join(right, (F.col("s") == F.col("t")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("id_a", "id_b").distinct()
+    pairs = stored(left.join(right, (F.col("s") == F.col("t")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("id_a", "id_b").distinct(), "rare")
+    drop_stored(first)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -331,42 +328,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     threshold. The members of larger ones are joined on their rarest shingles (see by_rarity), which finds every link
     among them. No bucket is cut short.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
     sketch = stored(docs.mapInArrow(_sketcher(size), "doc_id long, n long, digest binary, regs binary"), "sketch")
     classes = stored(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     reps = classes.select("id", "n", "regs")
-    keys = stored(reps.mapInArrow(_bands, "id long, n long, keys array<bigint>"), "keys")
-    band = keys.select("id", F.explode("keys").alias("k"))
+    band = reps.select("id", F.explode(_keys()).alias("k"))
     shared = stored(band.join(band.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"), "shared")
+    # the whole sets of classes that share a bucket are made and stored once
+    used = stored(shared.select(F.col("id").alias("doc_id")).distinct(), "used")
+    sets = stored(among(docs, used).select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary").where("length(s) > 0"), "sets")
     central = shared.groupBy("id").agg(F.sum("size").alias("c"))
     lead = shared.join(central, "id").groupBy("k").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("b"))
     tried = stored(_ordered(shared.join(lead, "k").where("id <> b"), "id", "b"), "tried")
-    edges = stored(confirmed(tried, reps, docs, size, percent), "edges")
+    edges = confirmed(tried, reps, sets, percent)
     comp = components(edges)
+    drop_stored(edges)
     flat = shared.join(comp, "id", "left").select("id", "k", "size", F.coalesce("comp", "id").alias("comp"))
     mixed = flat.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
     rest = stored(flat.join(mixed, "k"), "mixed")
+    drop_stored(shared, used)
     few = rest.where(F.col("size") <= DIRECT)
-    wide = keys.join(reps.mapInArrow(_open, "id long, r array<int>"), "id").join(few.select("id").distinct(), "id", "left_semi")
+    some = reps.join(few.select("id").distinct(), "id", "left_semi")
+    wide = some.select("id", "n", _keys().alias("keys")).join(some.mapInArrow(_open, "id long, r array<int>"), "id")
     few = few.join(wide, "id")
     left, right = (few.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "keys", "r")]) for s in "ab")
     same = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
     p = percent / 100
     enough = REGISTERS * p - DEVIATIONS * (REGISTERS * p * (1 - p)) ** 0.5
     cross = left.join(right, (left["k"] == right["k"]) & (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == left["k"]) & (same >= enough))
-    cross = cross.select("id_a", "id_b").union(by_rarity(docs, rest.where(F.col("size") > DIRECT).select("id", "comp").distinct(), size, percent))
-    more = confirmed(_ordered(cross, "id_a", "id_b").join(tried, ["a", "b"], "left_anti"), reps, docs, size, percent)
+    rare = by_rarity(sets, rest.where(F.col("size") > DIRECT).select("id", "comp").distinct(), percent)
+    open_pairs = stored(_ordered(cross.select("id_a", "id_b").union(rare), "id_a", "id_b").join(tried, ["a", "b"], "left_anti"), "open")
+    drop_stored(rest, tried, rare)
+    more = confirmed(open_pairs, reps, sets, percent)
+    drop_stored(sets, open_pairs)
     edges = comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)
     # rows that repeat a doc_id with another text tie their classes together
     same = sketch.where("digest is not null and doc_id is not null").select("doc_id", "digest").distinct().join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     again = same.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    ties = same.join(again, "a", "left_semi")
-    final = components(stored(edges.union(ties), "edges"))
+    ties = stored(same.join(again, "a", "left_semi"), "ties")
+    final = components(edges.union(ties))
     tied = ties.select(F.col("a").alias("doc_id")).distinct().join(final.select(F.col("id").alias("doc_id"), F.col("comp").alias("tied")), "doc_id")
     out = sketch.join(classes.select("digest", "id"), "digest", "left").join(final, "id", "left").join(tied, "doc_id", "left")
     comp_id = F.coalesce("tied", "comp", "id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"))
+    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept")), "components")
+    drop_stored(sketch, classes, comp, more, ties, final)
+    return out
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
