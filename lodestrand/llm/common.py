@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 ARROW_BYTES = 8 << 20
+_own: list[str] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -28,10 +29,14 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where it is unset, as in tests on one machine."""
+    """The folder named in spark.checkpoint.dir; a temporary one where it is unset, on one machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = os.environ.setdefault("LODESTRAND_SCRATCH", tempfile.mkdtemp(prefix="lodestrand-"))
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lodestrand-"))
+        named = _own[0]
     return named
 
 
@@ -47,18 +52,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete the files under tables made by stored(), once nothing reads them any more, and let Spark delete shuffle files that nothing reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/lodestrand-" in top:
-                p = jvm.org.apache.hadoop.fs.Path(top)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                drop_path(df.sparkSession, top)
     if tables:
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Ids that are broadcast at most; each takes some 30 bytes there.

@@ -53,16 +53,19 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a byte string and where they begin: differences of prefix sums of byte * R^place."""
+def _word_hashes(data: bytes, gap: np.ndarray = _IS_SPACE, cut: re.Pattern = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a byte string and where they begin: differences of prefix sums of byte * R^place.
+
+    gap: by byte, whether it parts words; cut: a pattern of one such byte.
+    """
     hashes, begins, at = [], [], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
         if to < len(data):  # cut at white space, so that no word is in two pieces
-            m = _SPACE.search(data, to)
+            m = cut.search(data, to)
             to = m.end() if m else len(data)
         x = np.frombuffer(data, np.uint8, to - at, at)
-        edge = np.diff(_IS_SPACE[x], prepend=True, append=True)
+        edge = np.diff(gap[x], prepend=True, append=True)
         i = np.flatnonzero(edge).reshape(-1, 2)
         up, down = _power_tables(len(x) + 1)
         sums = np.zeros(len(x) + 1, np.uint64)

@@ -168,10 +168,10 @@ def brute_hits(text, items, n=13):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 200])
-def test_benchmark_hits(spark, docs, max_bytes):
+@pytest.mark.parametrize("most_words", [1 << 20, 9])
+def test_benchmark_hits(spark, docs, most_words):
     items = [(1, PASSAGE), (2, "ab"), (3, None), (4, "!!"), (5, " ".join(BASE.upper().split()[20:40])), (5, "67"), (None, BASE)]
-    got = decontam.find_phrases(docs, spark.createDataFrame(items, "item_id long, text string"), max_bytes=max_bytes).collect()
+    got = decontam.find_phrases(docs, spark.createDataFrame(items, "item_id long, text string"), most_words=most_words).collect()
     want = sorted((i if i is not None else -1, *brute_hits(t, [x for x in items if x[0] is not None])) for i, t in ROWS)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, sorted(set(r.item_ids))) for r in got) == want
 
@@ -182,6 +182,22 @@ def test_proximity(spark):
     assert [got[i].near_item_ids for i in (1, 2, 3)] == [[7], [7], []] and all(r.n_hit == 0 for r in got.values())
 
 
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    items = [(i, " ".join(rng.choice("abcdefghi") for _ in range(rng.randint(1, 7)))) for i in range(40)]
+    got = decontam.find_phrases(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"), length=4, slop=2, most_words=50).collect()
+    for r in got:
+        w, exact, near = texts[r.doc_id].split(), set(), set()
+        for i, t in items:
+            u = t.split()
+            for a in range(max(1, len(u) - 3)):
+                x = u[a : a + 4]
+                exact |= {i for s in range(len(w)) if w[s : s + len(x)] == x}
+                near |= {i for s in range(len(w)) if set(x) <= set(w[s : s + len(x) + 2])}
+        assert set(r.item_ids) == exact and set(r.near_item_ids) == near - exact
+
+
 def shingle_set(t, k):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
