@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import ready, scratch, stored, vocabulary
+from lodestrand.llm.common import among, drop_path, drop_stored, only, ready, scratch, stored, vocabulary
 from lodestrand.llm.decontam import find_phrases
 from lodestrand.llm.lang_id import identify, train
 from lodestrand.llm.near_dedup import near_duplicates
@@ -14,71 +14,90 @@ from lodestrand.llm.secret_scan import scan
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.4
-MAX_BROADCAST_IDS = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A key for each document: its id, or a hash of its text where that is null."""
-    return docs.withColumn("key__", F.coalesce("doc_id", F.xxhash64("text")))
+def _key() -> F.Column:
+    """A row's own text and id as one number, where an id is null or lies on several rows."""
+    return F.xxhash64(F.lit("row"), "doc_id", "text")
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents whose key is not among keys; these are broadcast only if few enough."""
-    keys = stored(keys.where("key__ is not null").distinct(), "gone")
-    few = keys.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return _keyed(docs).join(F.broadcast(keys) if few else keys, "key__", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame, key: F.Column) -> DataFrame:
+    """Documents whose key is not among those gone (a stored table of the column key__)."""
+    return among(docs.withColumn("key__", key), gone, "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a recognised language: those without a letter or without a likely language go."""
-    docs = docs.select(*COLUMNS)
+    """Keep documents of a recognised language: those without a letter (null and empty texts too) or without a likely language go.
+
+    Learns from all labelled rows of docs (see train for its bound). Repeated rows get the same answer each.
+    """
+    docs = only(docs, *COLUMNS)
     return identify(docs, train(docs), *COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies (five-word shingles, 0.8) the document with the least id; of a repeated id one row."""
-    keyed = _keyed(docs.select(*COLUMNS))
+    """Keep of each group of near copies (five-word shingles, 0.8) the document with the least id.
+
+    Rows with a null id, or with an id that other rows have too, stand for themselves under a hash of id and text: they
+    go only where their own text is a copy, and of rows equal in id and text one stays. Texts without a word stay.
+    """
+    docs = only(docs, *COLUMNS)
+    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "shared_ids")
+    plain = not shared.limit(1).count()
+    keyed = docs.withColumn("key__", F.col("doc_id"))
+    if not plain:
+        mark = shared.where("doc_id is not null")
+        alone = among(docs.where("doc_id is not null"), mark, "left_anti").withColumn("key__", F.col("doc_id"))
+        keyed = alone.unionByName(among(docs.where("doc_id is not null"), mark).unionByName(docs.where("doc_id is null")).withColumn("key__", _key()))
     groups = near_duplicates(keyed.select(F.col("key__").alias("doc_id"), "text"), 5, 80)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("key__"))
-    twice = stored(keyed.groupBy("key__").agg(F.count("*").alias("n"), F.min(F.xxhash64("text", "lang", "source", "n_chars")).alias("first")).where("n > 1"), "repeated")
-    left = _without(docs, gone)
-    if not twice.limit(1).count():
-        return left
-    row = F.xxhash64("text", "lang", "source", "n_chars")
-    kept = _keyed(left).join(twice.select("key__", "first"), "key__", "left").where(F.col("first").isNull() | (F.col("first") == row))
-    return kept.dropDuplicates(["key__"]).select(*COLUMNS)
+    gone = stored(groups.where("not kept").select(F.col("doc_id").alias("key__")).distinct(), "gone")
+    if plain:
+        drop_stored(groups, shared)
+        return _without(docs, gone, F.col("doc_id"))
+    left = among(keyed, gone, "left_anti")
+    twice = stored(groups.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("key__")), "twice")
+    drop_stored(groups)
+    return among(left, twice, "left_anti").unionByName(among(left, twice).dropDuplicates(["key__"]).select(left.columns)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of whose words at least a twentieth lie in benchmark passages of 13 words."""
-    keyed = _keyed(docs).select(F.col("key__").alias("doc_id"), "text")
-    found = find_phrases(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("key__")))
+    """Drop documents that hold a whole benchmark window of 13 words, or of whose words a twentieth lie in shorter items.
+
+    Null and empty texts hold none and stay; rows that repeat id and text share one answer.
+    """
+    docs = only(docs, *COLUMNS)
+    found = find_phrases(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stored(found.where("whole or n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("key__")).distinct(), "gone")
+    return _without(docs, gone, _key())
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redact secrets; every document stays, with its new length."""
-    found = scan(docs.select(*COLUMNS), *COLUMNS)
+    """Redact secrets; every row stays, repeated, null and empty ones too. n_chars is the new length where something was redacted."""
+    docs = only(docs, *COLUMNS)
+    found = scan(docs, *COLUMNS)
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted").cast("long")).alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the rest into sequences of 2048 ids: one row per piece."""
+    """Pack the rest into sequences of 2048 ids: one row per piece. Null and empty texts have their end id alone; every row is a document."""
     return pack(docs, vocabulary("word_bpe_49k.json"), 1, False)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secrets), ("packing", packing)]
 
-#: Models and tokenizers are beyond SQL: tests compare the stages with brute force.
+#: Models and tokenizers are beyond SQL: tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
+    """All stages over the documents table, each written to the shared folder and read again; what a stage has read is deleted then."""
     ready(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
