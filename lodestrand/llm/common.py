@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -60,9 +61,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def drop_stored(*tables: DataFrame) -> None:
     """Delete the files under tables made by stored(), once nothing reads them any more, and let Spark delete shuffle files that nothing reads."""
     for df in tables:
-        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/lodestrand-" in top:
-                drop_path(df.sparkSession, top)
+        for top in {m[0] for f in df.inputFiles() if (m := re.match(r".*/lodestrand-[^/]*(?=/)", f))}:
+            drop_path(df.sparkSession, top)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
