@@ -262,13 +262,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _spread(batches):
-    import pyarrow as pa
+def _lists(most: int, rows: int = 1 << 20):
+    """A part's inverted lists: every shingle once with the number of its sets there and, up to `most`, their ids."""
 
-    for b in batches:
-        sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+    def run(batches):
+        import pyarrow as pa
+
+        def made(ids, sets):
+            s = np.concatenate(sets)
+            order = np.argsort(s, kind="stable")
+            own = np.repeat(np.array(ids, np.int64), [len(x) for x in sets])[order]
+            x, first, n = np.unique(s[order], return_index=True, return_counts=True)
+            few = n <= most
+            lens = np.where(few, n, 0)
+            take = own[np.repeat(first, lens) + np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)]
+            ends = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(take))], names=["s", "c", "ids"])
+
+        ids, sets, n = [], [], 0
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(i)
+                sets.append(np.frombuffer(x.as_buffer(), np.int64))
+                n += len(sets[-1])
+                if n >= rows:
+                    yield made(ids, sets)
+                    ids, sets, n = [], [], 0
         if sets:
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(np.concatenate(sets))], names=["id", "s"])
+            yield made(ids, sets)
+
+    return run
 
 
 def _rarest(percent: int):
@@ -302,17 +325,19 @@ def by_rarity(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     members of a large group that nothing links with meet few.
     """
     sets = sets.join(members.select("id"), "id", "left_semi")
-    rows = sets.mapInArrow(_spread, "id long, s long")
-    seen = rows.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
-    rare = rows.join(seen, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o")).select("id", F.filter("o", lambda x: x["c"] == 1)["s"].alias("own"), F.filter("o", lambda x: x["c"] > 1)["s"].alias("rare"))
+    lists = stored(sets.mapInArrow(_lists(RARE), "s long, c long, ids array<bigint>"), "lists")
+    seen = lists.groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") <= RARE)
+    rare = lists.drop("c").join(seen, "s").select(F.explode("ids").alias("id"), "c", "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o")).select("id", F.filter("o", lambda x: x["c"] == 1)["s"].alias("own"), F.filter("o", lambda x: x["c"] > 1)["s"].alias("rare"))
     first = sets.join(rare, "id", "left").select("id", "s", "own", "rare").mapInArrow(_rarest(percent), "id long, p int, s long, n long")
     first = stored(first.join(members, "id").select("id", "n", "comp", "p", "s"), "rarest")
-    top = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("s", "top")
+    drop_stored(lists)
+    # stored before the join, so that Spark can split the rows of a hot shingle
+    top = stored(first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("s", "top"), "top")
     left = first.join(top, "s").where("comp <> top").select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "comp", "p")])
     right = first.select(F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "comp", "p")])
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     pairs = stored(left.join(right, (F.col("s") == F.col("t")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("id_a", "id_b").distinct(), "rare")
-    drop_stored(first)
+    drop_stored(first, top)
     return pairs
 
 
