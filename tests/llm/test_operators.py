@@ -375,6 +375,26 @@ def test_passages_beyond_the_least_document(spark):
     assert sorted(got) == list(range(4, 25))
 
 
+@pytest.mark.parametrize("changed", [0, 1])
+def test_passages_behind_pieces_of_them(spark, changed):
+    """40 pairs share a passage of 60 words, in the second case one word changed; lesser documents hold 20 words of each."""
+    rng = random.Random(23 + changed)
+    rows, brute = [], set()
+    for k in range(40):
+        p = [rng.choice(WORDS) for _ in range(60)]
+        q = list(p)
+        for i in rng.sample(range(60), changed):
+            q[i] = rng.choice(WORDS)
+        for j in range(3):  # pieces that hold most roots of the passage
+            rows.append((3 * k + j, f"{prose(40, rng)} {' '.join(p[20 * j : 20 * j + 20])} {prose(40, rng)}"))
+        a, b = f"{prose(50, rng)} {' '.join(p)} {prose(50, rng)}", f"{prose(50, rng)} {' '.join(q)} {prose(50, rng)}"
+        rows += [(1000 + 2 * k, a), (1001 + 2 * k, b)]
+        if substring_dedup.passages(hashed(b), hashed(a), 46, 80):
+            brute.add((1001 + 2 * k, 1000 + 2 * k))
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(brute) >= 30 and got <= brute and len(got) >= (1 - 0.05 * changed) * len(brute)
+
+
 @pytest.mark.parametrize(("words", "gap"), [(60, 11), (60, 14), (55, 9), (55, 14), (70, 13)])
 def test_passages_parted_by_other_words(words, gap):
     rng = random.Random(words * gap)
