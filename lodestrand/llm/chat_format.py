@@ -112,17 +112,17 @@ def _format(batches):
 def format_chats(messages: DataFrame, most: int | None = None) -> DataFrame:
     """conv_id, leaf, formatted and loss: the text of each chosen path and the spans of its assistant turns."""
     ready(messages.sparkSession)
-    return conversations(messages, most).select("conv_id", "leaf", "turns").mapInArrow(_format, "conv_id long, leaf long, formatted string, loss array<struct<s:bigint,e:bigint>>")
+    return conversations(messages, most).select(F.col("conv_id").try_cast("long").alias("conv_id"), "leaf", "turns").mapInArrow(_format, "conv_id long, leaf long, formatted string, loss array<struct<s:bigint,e:bigint>>")
 
 
 def linear(rows: DataFrame) -> DataFrame:
     """Conversations of rows (conv_id, turn, role, text) as reply chains: each turn answers the one before it.
 
-    Turns need not be dense; rows that repeat a turn follow each other by role and text. A null conv_id is its own
-    conversation (-2); a null turn comes first.
+    Turns need not be dense; rows that repeat a turn follow each other by role and text. All rows of a null conv_id
+    are one conversation, whose id stays null; a null turn comes first. conv_id is text here, empty for null.
     """
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    rows = only(rows, "conv_id", "turn", "role", "text").withColumn("conv_id", F.coalesce("conv_id", F.lit(-2).cast("long")))
+    rows = only(rows, "conv_id", "turn", "role", "text").withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     return rows.select("conv_id", F.row_number().over(order).cast("long").alias("msg_id"), "role", "text").withColumn("parent_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1)).withColumn("score", F.lit(0.0))
 
 

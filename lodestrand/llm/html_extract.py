@@ -12,11 +12,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, ready, rows_by_chars, stored
+from .common import drop_stored, only, ready, rows_by_chars, stored
 
-MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.3, 100
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)>?|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*|'[^']*|[^\s>]*))?""", re.I)
+MIN_PAGES, MIN_SHARE, MANY_PAGES, LEAST_CHARS = 5, 0.3, 100, 20
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*)>?|[^<]+|<""", re.S)
+_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_MARKS = {"class", "id", "role", "hidden"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _DROP = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "video", "audio", "menu", "dialog", "input", "math"}
@@ -79,7 +80,7 @@ def parse(page: str) -> Node:
                         break
                 elif stack[k].tag in scope:
                     break
-        marks = " ".join((v or k).strip("\"'") if k.lower() != "hidden" else "hidden" for k, v in _ATTR.findall(m[3])) if m[3] else ""
+        marks = " ".join((v or k).strip("\"'") if k.lower() != "hidden" else "hidden" for k, v in _ATTR.findall(m[3]) if k.lower() in _MARKS) if m[3] else ""
         node = Node(tag, marks)
         stack[-1].children.append(node)
         if tag in _RAW:
@@ -119,8 +120,11 @@ def _roots(top: Node) -> list[Node]:
     return [top]
 
 
-def _hashed(root: Node, text_too: bool) -> dict[int, int]:
-    """The hash of every element subtree that may be a site's template, by id(node). Iterative, as trees may be deep."""
+def _hashed(root: Node) -> dict[int, int]:
+    """The hash of every element subtree that may be a site's template, by id(node). Iterative, as trees may be deep.
+
+    A paragraph, heading, list item or cell needs LEAST_CHARS of text: shorter ones are alike by chance.
+    """
     import xxhash
 
     order, todo, by, out = [], [root], {}, {}
@@ -129,20 +133,25 @@ def _hashed(root: Node, text_too: bool) -> dict[int, int]:
         order.append(x)
         todo.extend(c for c in x.children if not isinstance(c, str))
     for x in reversed(order):
-        h = xxhash.xxh3_64(f"{x.tag} {x.marks}")
+        h, n = xxhash.xxh3_64(f"{x.tag} {x.marks}"), 0
         for c in x.children:
-            h.update(" ".join(c.split()) if isinstance(c, str) else by[id(c)])
-        by[id(x)] = d = h.digest()
-        if x is not root and x.tag not in ("html", "body") and x.tag not in _INLINE and x.tag not in _DROP and (text_too or x.tag not in _TEXTUAL):
+            if isinstance(c, str):
+                t = " ".join(c.split())
+                h.update(t)
+                n += len(t)
+            else:
+                d, m = by[id(c)]
+                h.update(d)
+                n += m
+        by[id(x)] = d, _ = h.digest(), n
+        if x is not root and x.tag not in ("html", "body") and x.tag not in _INLINE and x.tag not in _DROP and (n >= LEAST_CHARS or x.tag not in _TEXTUAL and n):
             out[id(x)] = int.from_bytes(d, "little", signed=True)
     return out
 
 
 def template_hashes(page: str) -> set[int]:
-    """Hashes of a page's subtrees that could be template: outside paragraphs where an article is marked, any block elsewhere."""
-    top = parse(page)
-    roots = _roots(top)
-    return {h for r in roots for h in _hashed(r, r is top).values()}
+    """Hashes of a page's subtrees that could be template, inside its articles too."""
+    return {h for r in _roots(parse(page)) for h in _hashed(r).values()}
 
 
 def main_text(page: str | None, template: set[int] = frozenset()) -> str:
@@ -160,7 +169,7 @@ def main_text(page: str | None, template: set[int] = frozenset()) -> str:
 
     for root in _roots(top):
         inside = root is not top
-        hashes = _hashed(root, not inside) if template else {}
+        hashes = _hashed(root) if template else {}
         todo: list = [root]
         while todo:
             x = todo.pop()
@@ -170,7 +179,7 @@ def main_text(page: str | None, template: set[int] = frozenset()) -> str:
                 run.append(x)
             elif x.tag == "br":
                 run.append(" ")
-            elif x is root or not (_chrome(x, inside) or hashes.get(id(x)) in template):
+            elif x is root or not (hashes.get(id(x)) in template or _chrome(x, inside)):
                 if x.tag not in _INLINE:
                     flush()
                     todo.append(None)
@@ -219,13 +228,19 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     total = rows.select("host", "own").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = rows.select("host", "own", F.explode("hashes").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     kept = often.join(total, "host").where((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many))
-    return kept.groupBy("host").agg(F.collect_list("h").alias("template"))
+    templates = stored(kept.groupBy("host").agg(F.collect_list("h").alias("template")), "templates")
+    drop_stored(rows)
+    return templates
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) for every page. Null or empty html gives an empty text."""
+    """page_id, url, text and n_chars (code points) for every page. Null or empty html gives an empty text.
+
+    What recurs on a site goes first; elements that are never article text by their tag, class or id go as well, since
+    most hosts have too few pages to tell. Rows that repeat a page give a row each and count as one page.
+    """
     ready(pages.sparkSession)
-    templates = stored(site_templates(pages), "templates")
+    templates = site_templates(pages)
     rows = only(pages, "page_id", "url", "html").withColumn("host", host(F.col("url"))).join(templates, "host", "left")
     return rows.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 

@@ -458,3 +458,31 @@ def test_block_on_a_fifth_of_a_large_host_is_template(spark):
     pages = [(i, "http://l.example/a", page.format(i, "<div>Said on a fifth of the pages</div>" if i % 5 == 0 else "")) for i in range(600)]
     got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert all(r.text == f"Own words {r.page_id} here" for r in got)
+
+
+def test_recurrence_alone_tells_template_from_text(spark):
+    """Names mean nothing here, and the notice stands inside the article: only its recurrence tells it from text."""
+    page = "<body><article class='q7'><h2 class='a1'>Title {0}</h2><div class='zz'><p class='x9'>Read more of our stories every day</p></div><p class='x9'>Own words {0} here</p><p>Subscribe to hear from us again</p><ul><li>yes</li></ul></article></body>"
+    few = [(100 + i, "http://few.example/a", page.format(i)) for i in range(2)]
+    got = html_extract.extract(spark.createDataFrame([(i, "http://r.example/a", page.format(i)) for i in range(12)] + few, "page_id long, url string, html string")).collect()
+    assert all(r.text == (f"Title {r.page_id}\nOwn words {r.page_id} here" if r.page_id < 100 else f"Title {r.page_id - 100}\nRead more of our stories every day\nOwn words {r.page_id - 100} here\nSubscribe to hear from us again\nyes") or r.page_id < 100 and r.text == f"Title {r.page_id}\nOwn words {r.page_id} here\nyes" for r in got)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("""<article><p class="a"">Hello</p><p>World "x" end</p></article>""", 'Hello\nWorld "x" end'),
+    ("""<p>see <a href=foo">link</a> tail</p><p>World""", "see link tail\nWorld"),
+    ("""<p title='it's'>a</p><p>b's</p>""", "a\nb's"),
+    ("""<p title="1 > 0">a</p><p data-x = 'nav'>b</p>""", "a\nb"),
+    ("<p class=>a</p><p =x>b</p><p/>c", "a\nb\nc"),
+    ("""<p title="never closed>a</p><p>b</p>""", "a\nb"),
+])
+def test_stray_quotes(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_null_conversations_stay_apart(spark, tmp_path):
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (-2, 1, "user", "c"), (7, None, None, None), (7, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat_format.op8_chat_format(spark, str(tmp_path)).collect()}
+    digest = lambda *t: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
+    assert got == {None: (2, digest(("user", "a"), ("assistant", "b"))), -2: (1, digest(("user", "c"))), 7: (2, digest(("", ""), ("", ""))), -1: (2, digest(("user", chat_format.TRICK), ("assistant", chat_format.TRICK)))}
