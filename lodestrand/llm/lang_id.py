@@ -107,7 +107,9 @@ def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> tuple[list[str],
 
     At most about most_rows rows are fitted: those whose hash of the text falls under most_rows / (all rows), the same
     ones however the table is partitioned. Sums are of integers, so their order does not matter. The prototypes'
-    common mean is taken off, which leaves what tells languages apart.
+    common mean is taken off, which leaves what tells languages apart. Of languages equally near the first by name is
+    predicted. Copies of a text are in the sample together or not at all, so where a few texts make up most rows the
+    sample may hold more or fewer rows than most_rows.
     """
     ready(labelled.sparkSession)
     rows = only(labelled, "text", "lang").where("text is not null and lang is not null")
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -
     """
     langs, protos = model
     ready(docs.sparkSession)
-    names = list(keep)
+    names, docs = list(keep), only(docs, *{*keep, "text"})
     at = names.index("text") if "text" in names else len(names)
 
     def run(batches):

@@ -8,6 +8,7 @@ import string
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import only, ready, rows_by_chars
 
@@ -21,6 +22,8 @@ _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 LEFT, RIGHT, WIDTH = 24, 8, 5
 SEED, FINDINGS, RECALL = 11, 2400, 0.99
+#: Of the corpus's own findings at most so many are learned, from about so many rows; longer ones are not learned.
+CORPUS_FINDINGS, CORPUS_ROWS, LONGEST_LABEL = 800, 40_000, 512
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -201,16 +204,60 @@ def default_model() -> CharCNN:
     return _models["default"]
 
 
+def _parts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str]]:
+    return [(text[max(0, a - LEFT) : a], text[a:z], text[z : z + RIGHT]) for a, z in spans]
+
+
+def _overlapping(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The runs, which are apart, that touch a span; both sorted, walked side by side."""
+    out, k, most = [], 0, 0
+    for a, z in runs:
+        while k < len(spans) and spans[k][0] < z:
+            most = max(most, spans[k][2])
+            k += 1
+        if most > a:
+            out.append((a, z))
+    return out
+
+
+def _labelled(batches):
+    import pyarrow as pa
+
+    for b in rows_by_chars(batches, 0):
+        found = []
+        for t in b.column(0).to_pylist():
+            if t and (base := base_spans(t)):
+                found += [p for p in _parts(t, _overlapping(candidates(t), base)) if len(p[1]) <= LONGEST_LABEL]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["a", "b", "c"])
+
+
+def corpus_findings(docs: DataFrame, most: int = CORPUS_FINDINGS, most_rows: int = CORPUS_ROWS) -> list[tuple[str, str, str]]:
+    """Up to `most` different secrets of the fixed patterns in their context, from about most_rows rows: those of the least hashes."""
+    rows = only(docs, "text").where("text is not null")
+    n = rows.count()
+    if n > most_rows:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
+    found = rows.mapInArrow(_labelled, "a string, b string, c string").distinct()
+    return [(r.a, r.b, r.c) for r in found.orderBy(F.xxhash64("a", "b", "c"), "a", "b", "c").limit(most).collect()]
+
+
+def trained(docs: DataFrame) -> CharCNN:
+    """The network trained on findings made by rule and on the corpus's own (see corpus_findings for their bound)."""
+    ready(docs.sparkSession)
+    parts, labels = example_findings()
+    own = corpus_findings(docs)
+    return CharCNN().fit(parts + own, np.concatenate([labels, np.ones(len(own), np.float32)]))
+
+
 def all_spans(texts: list[str], model: CharCNN | None) -> list[list[tuple[int, int, int]]]:
-    """Per text the fixed patterns' spans, and those candidates apart from them that the model accepts."""
+    """Per text the fixed patterns' spans, and all candidates that the model accepts, those under a pattern too."""
     out, parts, at = [base_spans(t) for t in texts], [], []
     for i, t in enumerate(texts if model else []):
-        for a, z in candidates(t):
-            if not any(s < z and a < e for s, _, e in out[i]):
-                parts.append((t[max(0, a - LEFT) : a], t[a:z], t[z : z + RIGHT]))
-                at.append((i, a, z))
-    if parts:
-        for (i, a, z), p in zip(at, model.probability(model.logits(parts)), strict=True):
+        found = candidates(t)
+        parts += _parts(t, found)
+        at += [(i, a, z) for a, z in found]
+    for k in range(0, len(parts), 4096):
+        for (i, a, z), p in zip(at[k : k + 4096], model.probability(model.logits(parts[k : k + 4096])), strict=True):
             if p >= model.threshold:
                 out[i].append((a, 3, z))
     return [sorted(x) for x in out]
@@ -229,11 +276,11 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 def scan(docs: DataFrame, *keep: str, model: CharCNN | None = None) -> DataFrame:
     """Columns `keep` of docs, then n_assign, n_access, n_hex, base_sha256, spans, and the text with its secrets redacted.
 
-    Null text counts as empty and stays null when redacted. The network's few thousand weights go to the tasks. Each
-    text is scanned whole, a repeated row again.
+    Null text counts as empty and stays null when redacted. The network's few thousand weights go to the tasks; without
+    a model it is the one of the rules alone. Each text is scanned whole, a repeated row again.
     """
     ready(docs.sparkSession)
-    model, names = model or default_model(), list(keep)
+    model, names, docs = model or default_model(), list(keep), only(docs, *{*keep, "text"})
     at = names.index("text") if "text" in names else len(names)
 
     def run(batches):
@@ -256,4 +303,5 @@ def scan(docs: DataFrame, *keep: str, model: CharCNN | None = None) -> DataFrame
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the fixed patterns' spans, and all spans."""
-    return scan(only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), "doc_id").drop("redacted")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan(docs, "doc_id", model=trained(docs)).drop("redacted")

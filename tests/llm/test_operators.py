@@ -486,3 +486,26 @@ def test_null_conversations_stay_apart(spark, tmp_path):
     got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat_format.op8_chat_format(spark, str(tmp_path)).collect()}
     digest = lambda *t: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
     assert got == {None: (2, digest(("user", "a"), ("assistant", "b"))), -2: (1, digest(("user", "c"))), 7: (2, digest(("", ""), ("", ""))), -1: (2, digest(("user", chat_format.TRICK), ("assistant", chat_format.TRICK)))}
+
+
+def test_a_key_without_a_keyword_is_found_by_the_network_alone(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(36))
+    rows = [(i, f"{prose(30)} password = {''.join(rng.choice(WORDS[:50]) for _ in range(4))}{i} {prose(20)}", "b") for i in range(60)] + [(90, f"{prose(20)} sent {key} today {prose(10)}", "b"), (91, None, "b"), (92, "", "b"), (92, "", "b"), (93, "x" * 5000 + " " + key + " " + prose(4000), "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string").withColumnRenamed("other", "TEXT").repartition(3)
+    model = secret_scan.trained(df)
+    got = secret_scan.scan(df, "doc_id", model=model).collect()
+    spans = {r.doc_id: r.spans for r in got}
+    assert len(got) == len(rows) and not secret_scan.base_spans(rows[60][1])
+    a = rows[60][1].index(key)
+    assert f"model:{a}:{a + 36}" in spans[90].split(",") and "model:5001:5037" in spans[93].split(",") and spans[91] == spans[92] == ""
+    assert secret_scan.scan(df.limit(0), "doc_id", model=secret_scan.trained(df.limit(0))).count() == 0
+
+
+def test_overlaps_are_found_side_by_side():
+    rng = random.Random(2)
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(120), 12))
+        runs = list(zip(cuts[::2], cuts[1::2], strict=True))
+        spans = sorted((a, 0, a + rng.randint(1, 30)) for a in rng.sample(range(100), 5))
+        assert secret_scan._overlapping(runs, spans) == [(a, z) for a, z in runs if any(s < z and a < e for s, _, e in spans)]
