@@ -10,7 +10,7 @@ from lodestrand.llm.decontam import find_phrases
 from lodestrand.llm.lang_id import identify, train
 from lodestrand.llm.near_dedup import near_duplicates
 from lodestrand.llm.packing import pack
-from lodestrand.llm.secret_scan import scan
+from lodestrand.llm.secret_scan import scan, trained
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.4
@@ -74,7 +74,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact secrets; every row stays, repeated, null and empty ones too. n_chars is the new length where something was redacted."""
     docs = only(docs, *COLUMNS)
-    found = scan(docs, *COLUMNS)
+    found = scan(docs, *COLUMNS, model=trained(docs))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted").cast("long")).alias("n_chars"))
 
 
