@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 _own: list[str] = []
 
 
@@ -99,6 +99,21 @@ def rows_by_chars(batches, text_at: int, most_chars: int = 1 << 20, most_rows: i
             at = to
 
 
+def trimmed(run):
+    """A function of batches that gives freed memory back to the system at its end, as the worker lives on."""
+
+    def whole(batches):
+        import ctypes
+
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
 def by_row(batches):
     """Rows of Arrow batches one by one as dicts: of a batch of large rows one at a time becomes Python objects."""
     for b in batches:

@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, only, ready, rows_by_chars, scratch, stored
+from .common import drop_stored, only, ready, rows_by_chars, scratch, stored, trimmed
 from .near_dedup import _word_hashes
 
 WINDOW = 13
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 #: Words of the test set that go to the tasks at a time, 8 bytes each.
 TEST_WORDS = 1 << 20
 INDEX = "part long, block long, doc_ids array<bigint>, n_words array<bigint>, terms binary, dfs binary, postings binary"
@@ -70,7 +70,7 @@ def _indexer(block_words: int):
 def build_index(docs: DataFrame, path: str, block_words: int = BLOCK_WORDS) -> None:
     """Write the positional index of all words of all documents to path. Nothing is shuffled; a block ends with the batch that fills it."""
     ready(docs.sparkSession)
-    only(docs, "doc_id", "text").mapInArrow(_indexer(block_words), INDEX).write.parquet(path)
+    only(docs, "doc_id", "text").mapInArrow(trimmed(_indexer(block_words)), INDEX).write.parquet(path)
 
 
 class Block:

@@ -14,7 +14,7 @@ import numpy as np
 
 from .near_dedup import _mix
 
-PIECE_CHARS, LONGEST, TOGETHER, MOST_RUNS = 1 << 20, 64, 4096, 1 << 20
+PIECE_CHARS, LONGEST, TOGETHER, MOST_RUNS = 1 << 20, 64, 4096, 1 << 19
 _SEP, _SPACE, _LINE, _LETTER, _DIGIT, _SIGN, _ODD, _BLANK = range(8)  # _ODD: a piece with it is not cut; _BLANK: odd white space
 _KIND = np.full(256, _ODD, np.uint8)
 _KIND[33:127] = _SIGN

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, ready, rows_by_chars
+from .common import only, ready, rows_by_chars, trimmed
 from .near_dedup import _mix
 
 DIMENSIONS = 1024
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -
 
     rows = docs.select(*names, *[] if "text" in names else ["text"])
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[: len(names)])
-    return rows.mapInArrow(run, kinds + ", lang_pred string, score double, cosine double")
+    return rows.mapInArrow(trimmed(run), kinds + ", lang_pred string, score double, cosine double")
 
 
 def held_out(doc_id) -> F.Column:

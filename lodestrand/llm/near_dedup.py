@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, drop_stored, only, ready, rows_by_chars, stored
+from .common import among, drop_stored, only, ready, rows_by_chars, stored, trimmed
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.0005, 20.0, (1 << 16) - 2
@@ -358,14 +358,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
-    sketch = stored(docs.mapInArrow(_sketcher(size), "doc_id long, n long, digest binary, regs binary"), "sketch")
+    sketch = stored(docs.mapInArrow(trimmed(_sketcher(size)), "doc_id long, n long, digest binary, regs binary"), "sketch")
     classes = stored(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     reps = classes.select("id", "n", "regs")
     band = reps.select("id", F.explode(_keys()).alias("k"))
     shared = stored(band.join(band.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"), "shared")
     # the whole sets of classes that share a bucket are made and stored once
     used = stored(shared.select(F.col("id").alias("doc_id")).distinct(), "used")
-    sets = stored(among(docs, used).select("doc_id", "text").mapInArrow(_sets(size), "id long, s binary").where("length(s) > 0"), "sets")
+    sets = stored(among(docs, used).select("doc_id", "text").mapInArrow(trimmed(_sets(size)), "id long, s binary").where("length(s) > 0"), "sets")
     central = shared.groupBy("id").agg(F.sum("size").alias("c"))
     lead = shared.join(central, "id").groupBy("k").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("b"))
     tried = stored(_ordered(shared.join(lead, "k").where("id <> b"), "id", "b"), "tried")

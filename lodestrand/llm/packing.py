@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, ready, rows_by_chars, vocabulary
+from .common import only, ready, rows_by_chars, trimmed, vocabulary
 from .encoding import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int, byte_level: bool, size: int =
     Repeated doc_ids stay separate documents. sequence_id is unique, not dense.
     """
     ready(docs.sparkSession)
-    return only(docs, "doc_id", "text").mapInArrow(_packer(vocab, byte_level, end_id, size, with_ids), SCHEMA + ", ids array<bigint>" * with_ids)
+    return only(docs, "doc_id", "text").mapInArrow(trimmed(_packer(vocab, byte_level, end_id, size, with_ids)), SCHEMA + ", ids array<bigint>" * with_ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, ready, rows_by_chars
+from .common import only, ready, rows_by_chars, trimmed
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -298,7 +298,7 @@ def scan(docs: DataFrame, *keep: str, model: CharCNN | None = None) -> DataFrame
 
     rows = docs.select(*names, *[] if "text" in names else ["text"])
     kinds = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[: len(names)])
-    return rows.mapInArrow(run, kinds + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    return rows.mapInArrow(trimmed(run), kinds + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_row, only, ready, rows_by_chars, scratch, vocabulary
+from .common import by_row, only, ready, rows_by_chars, scratch, trimmed, vocabulary
 from .encoding import encoder
 
 SAMPLE = 256
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 SCHEMA = "part long, block long, n_docs long, n_ids long, width int, doc_ids array<bigint>, ef_low binary, ef_high binary, ef_bits int, ef_select binary, ids binary"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, byte_level
     spark = ready(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (only(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(_writer(vocab, byte_level, end_id, block_ids), SCHEMA).write.parquet(path))
+     .mapInArrow(trimmed(_writer(vocab, byte_level, end_id, block_ids)), SCHEMA).write.parquet(path))
 
 
 def _opened(r: dict) -> tuple[EliasFano, np.ndarray]:
