@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, only, ready, rows_by_chars, scratch, stored, trimmed
+from .common import drop_path, drop_stored, only, ready, rows_by_chars, scratch, stored, trimmed
 from .near_dedup import _word_hashes
 
 WINDOW = 13
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 16
 #: Words of the test set that go to the tasks at a time, 8 bytes each.
 TEST_WORDS = 1 << 20
 INDEX = "part long, block long, doc_ids array<bigint>, n_words array<bigint>, terms binary, dfs binary, postings binary"
@@ -52,7 +52,7 @@ def _indexer(block_words: int):
             parts = (("part", pa.int64(), part), ("block", pa.int64(), block), ("doc_ids", pa.list_(pa.int64()), docs), ("n_words", pa.list_(pa.int64()), counts), ("terms", pa.binary(), terms.astype("<u8").tobytes()), ("dfs", pa.binary(), dfs.astype("<u4").tobytes()), ("postings", pa.binary(), at[order].astype("<u4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for _, k, v in parts], names=[name for name, _, _ in parts])
 
-        for b in rows_by_chars(batches, 1):
+        for b in rows_by_chars(batches, 1, most_chars=1 << 19):
             h, lens = word_hashes(b.column(1).to_pylist())
             docs += b.column(0).to_pylist()
             counts += lens.tolist()
@@ -68,9 +68,12 @@ def _indexer(block_words: int):
 
 
 def build_index(docs: DataFrame, path: str, block_words: int = BLOCK_WORDS) -> None:
-    """Write the positional index of all words of all documents to path. Nothing is shuffled; a block ends with the batch that fills it."""
+    """Write the positional index of all words of all documents to path. Nothing is shuffled; a block ends with the batch that fills it.
+
+    Hashes do not compress, and values of a megabyte make compressors hold that much memory outside the heap.
+    """
     ready(docs.sparkSession)
-    only(docs, "doc_id", "text").mapInArrow(trimmed(_indexer(block_words)), INDEX).write.parquet(path)
+    only(docs, "doc_id", "text").mapInArrow(trimmed(_indexer(block_words)), INDEX).write.option("compression", "none").parquet(path)
 
 
 class Block:
@@ -277,7 +280,9 @@ def find_phrases(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop:
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["to"]), F.lit(0).cast("long"))).alias("n"), F.greatest(acc["to"], x["e"]).alias("to"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     n_hit = F.aggregate(F.array_sort("spans"), zero, step, lambda acc: acc["n"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "item_ids", "near_item_ids", "whole")
+    found = stored(found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "item_ids", "near_item_ids", "whole"), "hits")
+    drop_path(spark, path)
+    return found
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
