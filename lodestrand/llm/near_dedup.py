@@ -236,9 +236,11 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     info = reps.select(F.col("id"), "n", "regs")
     wide = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a").join(info.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
     likely = stored(wide.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_plausible(percent), "a long, b long"), "pairs")
+    used = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "used")
+    sets = among(sets, used)
     two = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     found = stored(two.select("a", "b", "s_a", "s_b").mapInArrow(_confirm(percent), "a long, b long"), "edges")
-    drop_stored(likely)
+    drop_stored(likely, used)
     return found
 
 
@@ -324,7 +326,8 @@ def by_rarity(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     members of its largest component meet those of others alone. What a text has rarely is what sets it apart, so
     members of a large group that nothing links with meet few.
     """
-    sets = sets.join(members.select("id"), "id", "left_semi")
+    used = stored(members.select("id").distinct(), "used")
+    sets = among(sets, used)
     lists = stored(sets.mapInArrow(_lists(RARE), "s long, c long, ids array<bigint>"), "lists")
     seen = lists.groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") <= RARE)
     rare = lists.drop("c").join(seen, "s").select(F.explode("ids").alias("id"), "c", "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o")).select("id", F.filter("o", lambda x: x["c"] == 1)["s"].alias("own"), F.filter("o", lambda x: x["c"] > 1)["s"].alias("rare"))
@@ -337,7 +340,7 @@ def by_rarity(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     right = first.select(F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "comp", "p")])
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     pairs = stored(left.join(right, (F.col("s") == F.col("t")) & (F.col("comp_a") != F.col("comp_b")) & (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("id_a", "id_b").distinct(), "rare")
-    drop_stored(first, top)
+    drop_stored(first, top, used)
     return pairs
 
 
