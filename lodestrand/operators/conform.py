@@ -36,6 +36,22 @@ def conform(lines: DataFrame, templates: list[Template], line: str = "line", kee
     return rows.select(*keep, "template_id", "pos", "type", F.when(F.col("type").isin(UINT, SINT, ULONG, SLONG), to_long(number)).alias("integer_value"), F.when(F.col("type") == DECIMAL, number).alias("decimal_value"), F.when(F.col("type").isin(ASCII, BYTES, NULL) & (F.col("seen") != NULL), F.col("raw")).alias("text_value"))
 
 
+def conform_columns(lines: DataFrame, templates: list[Template], width: int, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Wide form of conform(): `keep`, template_id, and for each of `width` places integer_i, decimal_i and text_i.
+
+    A field's own type is read off the record's shape, so each is inferred once, and nothing is shuffled.
+    """
+    rows = lines.withColumn("sig", signature(F.col(line))).join(F.broadcast(mapping(lines.sparkSession, templates)), "sig", "left")
+    rows = rows.withColumn("parts", split_fields(F.col(line)))
+    out = []
+    for i in range(width):
+        raw = F.get("parts", F.lit(i))
+        seen, kind = F.substring("sig", i + 1, 1).try_cast("int"), F.coalesce(F.get("types", F.lit(i)), F.lit(ASCII))
+        number = F.when(seen.isin(UINT, SINT, ULONG, SLONG, DECIMAL), _number(F.ltrim(raw), seen))
+        out += [F.when(kind.isin(UINT, SINT, ULONG, SLONG), to_long(number)).alias(f"integer_{i}"), F.when(kind == DECIMAL, number).alias(f"decimal_{i}"), F.when(kind.isin(ASCII, BYTES, NULL) & (seen != NULL), raw).alias(f"text_{i}")]
+    return rows.select(*keep, "template_id", *out)
+
+
 def typed(lines: DataFrame, template: Template, templates: list[Template], line: str = "line", names: list[str] | None = None) -> DataFrame:
     """The records of one template as a table with typed columns c0..cN."""
     spark = lines.sparkSession
@@ -51,9 +67,19 @@ def typed(lines: DataFrame, template: Template, templates: list[Template], line:
 
 
 def write_templates(lines: DataFrame, templates: list[Template], path: str, line: str = "line") -> None:
-    """One Parquet folder for each template: path/template=<id>."""
+    """One Parquet folder for each template: path/template=<id>.
+
+    The input is read once, into a folder of lines for each template, from which that template's table is made.
+    """
+    spark = lines.sparkSession
+    apart = f"{path}/_lines"
+    rows = lines.withColumn("sig", signature(F.col(line))).join(F.broadcast(mapping(spark, templates)), "sig")
+    rows.select(F.col(line).alias("line"), "template_id").write.mode("overwrite").partitionBy("template_id").parquet(apart)
     for t in templates:
-        typed(lines, t, templates, line).write.mode("overwrite").parquet(f"{path}/template={t.template_id}")
+        own = spark.read.schema("line string, template_id int").parquet(apart).where(F.col("template_id") == t.template_id).select("line")
+        typed(own, t, templates).write.mode("overwrite").parquet(f"{path}/template={t.template_id}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(apart)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def dispatch(df: DataFrame, table: DataFrame, keys: list[str], value: str, default) -> DataFrame:

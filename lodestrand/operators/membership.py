@@ -7,6 +7,8 @@ import gzip
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import murmur2
+
 BITS, PROBES = 1 << 25, 8
 
 
@@ -47,9 +49,10 @@ def bit_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return b.select(key).distinct().join(a.select(key), key, "left_anti")
 
 
-def mixed(a: DataFrame, b: DataFrame, seed: int) -> DataFrame:
-    """Both tables' rows in a seeded order: a concatenation, not a join."""
-    return a.unionByName(b).orderBy(F.rand(seed))
+def mixed(a: DataFrame, b: DataFrame, key: str, seed: int) -> DataFrame:
+    """Both tables' rows in the order of a hash of their key, side and the seed (`at`): the same however they are partitioned."""
+    rows = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    return rows.withColumn("at", murmur2(F.concat_ws("|", F.col(key).cast("string"), "side", F.lit(str(seed))))).orderBy("at", key, "side")
 
 
 def gaps(rows: DataFrame, position: str, bucket: int = 1 << 15) -> DataFrame:

@@ -56,6 +56,25 @@ def encoding_costs(df: DataFrame, value: str, partition: list[str], order: list[
     return got.withColumn("operator", best)
 
 
+def operators(df: DataFrame, fields: list[str], partition: list[str], order: list[str]) -> DataFrame:
+    """(field, operator) as encoding_costs() chooses it, for several fields over one window and in one aggregate."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    rows = df.select(*fields, *[F.lag(c).over(w).alias(f"prev_{c}") for c in fields])
+    sums, chosen = [F.count("*").alias("total")], []
+    for c in fields:
+        v, p = F.col(c), F.col(f"prev_{c}")
+        if df.schema[c].dataType.typeName() == "string":
+            sums.append(F.count_if(v == p).alias(f"copies_{c}"))
+            best = F.when(F.col(f"copies_{c}") >= F.floor(F.col("total") / 2), "copy").otherwise("delta")
+        else:
+            width = stop_bit_width(v)
+            sums += [F.sum(width).alias(f"none_{c}"), F.sum(F.when(v == p, 0).otherwise(width)).alias(f"copy_{c}"), F.sum(F.when(v == p + 1, 0).otherwise(width)).alias(f"increment_{c}"), F.sum(stop_bit_width(v - F.coalesce(p, F.lit(0)))).alias(f"delta_{c}")]
+            none, copy, increment, delta = (F.col(f"{k}_{c}") for k in ("none", "copy", "increment", "delta"))
+            best = F.when((copy >= none) & (increment >= none) & (delta >= none), "none").when((copy <= increment) & (copy <= delta), "copy").when(increment <= delta, "increment").otherwise("delta")
+        chosen.append(F.struct(F.lit(c).alias("field"), best.alias("operator")))
+    return rows.agg(*sums).select(F.inline(F.array(*chosen)))
+
+
 def message_counts(df: DataFrame, kind: str) -> DataFrame:
     """Rows by kind, and the total in a row whose kind is null."""
     return df.rollup(kind).agg(F.count("*").alias("n"))

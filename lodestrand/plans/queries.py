@@ -127,18 +127,49 @@ def template_discovery_full(spark, d):
 
 @query(f"WITH {EVENT_TYPES} SELECT rec, event_id AS id, f1 AS kind, CAST(CAST(nullif(f2, '') AS DECIMAL(18,2)) AS DOUBLE) AS amount, CAST(f3 AS BIGINT) AS user_no FROM t")
 def conform_records(spark, d):
+    lines = event_lines(spark, d)
+    rows = C.conform_columns(lines, S.discover(lines), 4, keep=("rec",))
+    return rows.select("rec", F.col("integer_0").alias("id"), F.col("text_1").alias("kind"), F.col("decimal_2").cast("double").alias("amount"), F.col("integer_3").alias("user_no"))
+
+
+@query(f"WITH {EVENT_TYPES} SELECT CAST(pos AS INT) AS pos, count(*) AS n, count(v) AS filled FROM (SELECT unnest([0, 1, 2, 3]) AS pos, unnest([f0, f1, nullif(f2, ''), f3]) AS v FROM t) GROUP BY 1")
+def conform_fields(spark, d):
     lines = event_lines(spark, d)
     rows = C.conform(lines, S.discover(lines), keep=("rec",))
-    at = lambda p, c: F.max(F.when(F.col("pos") == p, F.col(c)))
-    return rows.groupBy("rec").agg(at(0, "integer_value").alias("id"), at(1, "text_value").alias("kind"), at(2, "decimal_value").cast("double").alias("amount"), at(3, "integer_value").alias("user_no"))
+    return rows.groupBy("pos").agg(F.count("*").alias("n"), F.count(F.coalesce("text_value", F.col("integer_value").cast("string"), F.col("decimal_value").cast("string"))).alias("filled"))
 
 
-@query("SELECT event_id, coalesce(rank, 99) AS template_id FROM events LEFT JOIN (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) AS INT) AS rank FROM (SELECT DISTINCT event_type FROM events WHERE event_id < 500)) USING (event_type)")
+@query("SELECT n_nationkey, CAST(round_even(n_nationkey + 0.5, 0) AS BIGINT) AS up, CAST(round_even(-n_nationkey - 0.5, 0) AS BIGINT) AS down FROM nation")
+def half_even_rounding(spark, d):
+    k = F.col("n_nationkey").cast("decimal(38,9)")
+    half = F.lit("0.5").cast("decimal(38,9)")
+    return table(spark, d, "nation").select("n_nationkey", C.to_long((k + half).cast("decimal(38,9)")).alias("up"), C.to_long((-k - half).cast("decimal(38,9)")).alias("down"))
+
+
+@query("SELECT 'UINT,DECIMAL' AS types, count(*) AS n FROM events")
+def template_merge_decimal(spark, d):
+    e = table(spark, d, "events")
+    v = F.when(F.col("event_id") % 3 == 0, F.abs("value").cast("long").cast("string")).otherwise(F.abs("value").cast("decimal(18,2)").cast("string"))
+    return S.template_table(spark, S.discover(e.select(F.concat_ws(",", F.col("event_id").cast("string"), v).alias("line")))).select("types", "n")
+
+
+@query("""SELECT c_custkey AS rec, CAST(unnest([0, 1, 2]) AS INT) AS pos, unnest([c_name || ', "' || c_mktsegment || '"', CAST(c_custkey AS VARCHAR), '']) AS raw FROM customer""")
+def quoted_fields(spark, d):
+    c = table(spark, d, "customer")
+    quoted = F.concat(F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('"""'))
+    lines = c.select(F.col("c_custkey").alias("rec"), F.concat_ws(",", quoted, F.col("c_custkey").cast("string"), F.lit("")).alias("line"))
+    return lines.select("rec", F.posexplode(X.split_quoted(F.col("line"))).alias("pos", "raw"))
+
+
+@query("SELECT event_id, coalesce(rank, 99) AS template_id FROM events LEFT JOIN (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) AS INT) AS rank FROM (SELECT event_type FROM events GROUP BY 1 HAVING count(*) * (SELECT count(DISTINCT event_type) FROM events) >= (SELECT count(event_type) FROM events))) USING (event_type)")
 def template_dispatch(spark, d):
     from pyspark.sql import Window
 
     e = table(spark, d, "events")
-    known = e.where("event_id < 500").select("event_type").distinct().withColumn("template_id", F.row_number().over(Window.orderBy("event_type")))
+    # types of at least the mean number of records have a template, rarer ones the default; a row per type
+    counts = e.where("event_type is not null").groupBy("event_type").agg(F.count("*").alias("n"))
+    mean = counts.agg(F.avg("n").alias("mean"))
+    known = counts.crossJoin(F.broadcast(mean)).where("n >= mean").select("event_type", F.row_number().over(Window.orderBy("event_type")).alias("template_id"))
     return C.dispatch(e, known, ["event_type"], "template_id", 99).select("event_id", "template_id")
 
 
@@ -180,8 +211,7 @@ def _cost_sql(name: str, v: str, p: str) -> str:
 @query(f"{PREV}, k AS ({_cost_sql('q', 'q', 'prev')} UNION ALL {_cost_sql('l_linenumber', 'l_linenumber', 'prevn')}) SELECT field, CASE WHEN b >= a AND c >= a AND e >= a THEN 'none' WHEN b <= c AND b <= e THEN 'copy' WHEN c <= e THEN 'increment' ELSE 'delta' END AS operator FROM k UNION ALL SELECT 'l_returnflag', CASE WHEN count(*) FILTER (l_returnflag = prevf) >= count(*) // 2 THEN 'copy' ELSE 'delta' END FROM x")
 def choose_operator(spark, d):
     x = quantities(spark, d).withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
-    parts = [A.encoding_costs(x, c, *KEY).select(F.lit(c).alias("field"), "operator") for c in ("q", "l_linenumber", "l_returnflag")]
-    return parts[0].union(parts[1]).union(parts[2])
+    return A.operators(x, ["q", "l_linenumber", "l_returnflag"], *KEY)
 
 
 @query(f"{PREV} SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, CASE WHEN l_returnflag = prevf THEN NULL ELSE l_returnflag END AS encoded FROM x")
@@ -302,7 +332,7 @@ def murmur2_hash(spark, d):
     return table(spark, d, "part").select("p_partkey", murmur2(F.col("p_name")).alias("hash"))
 
 
-BITS = 8
+BITS = 17  # over 80000 buckets, so that a field of too many values can be told from a key
 BUCKETS = f"b AS (SELECT bucket, count(*) AS n FROM (SELECT {murmur2_sql('s')} & {(1 << BITS) - 1} AS bucket FROM (SELECT CAST(user_id AS VARCHAR) AS s FROM events)) GROUP BY 1)"
 
 
@@ -335,9 +365,10 @@ def huffman_codes(spark, d):
     return huffman.code_table(table(spark, d, "events"), "event_type")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def new_members(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    """Customers without an urgent order."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     return M.new_members(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
@@ -347,16 +378,16 @@ def overlap_check(spark, d):
     return M.overlap(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 3 = 0 EXCEPT SELECT p_partkey FROM part WHERE p_size > 25")
+@query("SELECT DISTINCT l_partkey AS k FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size > 25")
 def set_difference(spark, d):
     a = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("k"))
-    return M.bit_difference(a, table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("k")), "k")
+    return M.bit_difference(a, table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
-@query("SELECT k, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) GROUP BY 1")
+@query(f"SELECT k, side, {murmur2_sql('name')} AS at FROM (SELECT *, concat_ws('|', CAST(k AS VARCHAR), side, '7') AS name FROM (SELECT n_nationkey AS k, 'a' AS side FROM nation UNION ALL SELECT r_regionkey, 'b' FROM region))")
 def interleave(spark, d):
     a, b = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k"))
-    return M.mixed(a, b, 7).groupBy("k").agg(F.count("*").alias("n"))
+    return M.mixed(a, b, "k", 7)
 
 
 @query("WITH x AS (SELECT DISTINCT o_custkey AS p, o_custkey // 32768 AS piece FROM orders) SELECT p AS position, p - coalesce(lag(p) OVER (PARTITION BY piece ORDER BY p), piece * 32768) AS gap FROM x")

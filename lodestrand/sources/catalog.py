@@ -30,15 +30,20 @@ def to_xml(templates: list[Template], operators: dict[tuple[int, int], str] | No
 
 
 def from_xml(raw: bytes) -> list[Template]:
-    """The inverse; raw may be gzipped. Unknown child elements are operators and are left out."""
+    """The inverse; raw may be gzipped, and its elements may lie in a namespace. Unknown child elements are operators and are left out; a catalog without a template is an error."""
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     back = {v: k for k, v in reversed(TAGS.items())}
     out = []
-    for node in ET.fromstring(raw).iter("template"):
-        fields = [f for f in node if f.tag in back]
-        kinds = tuple(int(f.get("kind", back[f.tag])) for f in fields)
+    name = lambda e: e.tag.rpartition("}")[2]
+    for node in ET.fromstring(raw).iter():
+        if name(node) != "template":
+            continue
+        fields = [f for f in node if name(f) in back]
+        kinds = tuple(int(f.get("kind", back[name(f)])) for f in fields)
         shapes = node.get("shapes")
         out.append(Template(int(node.get("id", len(out))), kinds, tuple(f.get("presence") == "optional" for f in fields), int(node.get("count", 0)), tuple(shapes.split(" ")) if shapes is not None else ("".join(map(str, kinds)),)))
+    if not out:
+        raise ValueError("a catalog without a template")
     return out
 
 

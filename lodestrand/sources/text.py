@@ -29,6 +29,13 @@ def split_fields(line: Column) -> Column:
     return F.split(line, r"(?<!\\),", -1)
 
 
+def split_quoted(line: Column) -> Column:
+    """The comma-separated fields of a line in which a field in double quotes may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), F.lit(1))
+    bare = lambda x: F.when(x.rlike(r'^"(?s:.*)"$') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(raw, bare)
+
+
 def explode_fields(df: DataFrame, line: str = "line") -> DataFrame:
     """Rows of df by field: pos from 0, and raw."""
     return df.select("*", F.posexplode(split_fields(F.col(line))).alias("pos", "raw"))
