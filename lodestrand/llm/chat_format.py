@@ -54,21 +54,21 @@ def paths(messages: DataFrame) -> DataFrame:
 
     messages: conv_id, msg_id, parent_id (null, or not in the conversation: a root). Each msg_id once in its
     conversation; a cycle has no leaf and gives nothing. Rows grow to the sum of the paths' lengths, the size of the
-    answer, and jumps stay a row per message.
+    answer, and jumps stay a row per message that has an ancestor so far up.
     """
     known = messages.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     jump = messages.select("conv_id", "msg_id", "parent_id").join(known, ["conv_id", "parent_id"], "left").select("conv_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
     jump = stored(jump, "jumps")
     inner = jump.where("up is not null").select("conv_id", F.col("up").alias("msg_id")).distinct()
     found = jump.join(inner, ["conv_id", "msg_id"], "left_anti").select("conv_id", F.col("msg_id").alias("leaf"), F.lit(0).cast("long").alias("depth"), "msg_id")
-    step = 1
-    while jump.where("up is not null").limit(1).count():
-        more = found.join(jump, ["conv_id", "msg_id"]).where("up is not null").select("conv_id", "leaf", (F.col("depth") + step).alias("depth"), F.col("up").alias("msg_id"))
+    step, jump = 1, jump.where("up is not null")
+    while jump.limit(1).count():
+        more = found.join(jump, ["conv_id", "msg_id"]).select("conv_id", "leaf", (F.col("depth") + step).alias("depth"), F.col("up").alias("msg_id"))
         found = stored(found.union(more), "paths")
         if not more_left(found, step):
             break
         far = jump.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("upper"))
-        jump = stored(jump.join(far, ["conv_id", "up"], "left").select("conv_id", "msg_id", F.col("upper").alias("up")), "jumps")
+        jump = stored(jump.join(far, ["conv_id", "up"]).select("conv_id", "msg_id", F.col("upper").alias("up")), "jumps")
         step *= 2
     return found
 
