@@ -395,6 +395,22 @@ def test_passages_behind_pieces_of_them(spark, changed):
     assert len(brute) >= 30 and got <= brute and len(got) >= (1 - 0.05 * changed) * len(brute)
 
 
+def test_passages_like_one_that_is_like_the_least(spark):
+    """In 40 groups B is A with a word changed, C is B with another one changed: B is like both, C is like B alone."""
+    rng = random.Random(31)
+    rows, brute = [], set()
+    for k in range(40):
+        p = [rng.choice(WORDS) for _ in range(60)]
+        for j, at in enumerate((None, 25, 33)):
+            if at:
+                p[at] = f"other{k}x{j}"
+            rows.append((3 * k + j, f"{prose(40, rng)} {' '.join(p)} {prose(40, rng)}"))
+        brute |= {(i, j) for i, t in rows[-3:] for j, u in rows[-3:] if j < i and substring_dedup.passages(hashed(t), hashed(u), 46, 80)}
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert brute == {(3 * k + j, 3 * k + j - 1) for k in range(40) for j in (1, 2)}
+    assert got <= brute and len(got) >= 0.95 * len(brute)
+
+
 @pytest.mark.parametrize(("words", "gap"), [(60, 11), (60, 14), (55, 9), (55, 14), (70, 13)])
 def test_passages_parted_by_other_words(words, gap):
     rng = random.Random(words * gap)
