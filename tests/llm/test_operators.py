@@ -411,6 +411,17 @@ def test_passages_like_one_that_is_like_the_least(spark):
     assert got <= brute and len(got) >= 0.95 * len(brute)
 
 
+@pytest.mark.parametrize("common", [36, 37])
+def test_shared_lines_a_shingle_too_short(spark, common):
+    """Of 40 windows that share just as many shingles as a passage needs keys are left, of one less none."""
+    rng = random.Random(common)
+    line = prose(common + 4, rng)
+    rows = [(i, f"{' '.join(f'a{i}x{j}' for j in range(70))} {line} {' '.join(f'z{i}x{j}' for j in range(70))}") for i in range(40)]
+    streams = spark.createDataFrame([(i, bytes(hashed(t).tobytes())) for i, t in rows], "doc long, s binary")
+    big = spark.createDataFrame([(1, i, 90, 70 - 46, 140) for i, _ in rows], "key long, doc long, c int, l int, r int")
+    assert (substring_dedup._refined(big, streams, 46, 80).count() > 0) == (common > 36)
+
+
 @pytest.mark.parametrize(("words", "gap"), [(60, 11), (60, 14), (55, 9), (55, 14), (70, 13)])
 def test_passages_parted_by_other_words(words, gap):
     rng = random.Random(words * gap)
