@@ -422,6 +422,35 @@ def test_shared_lines_a_shingle_too_short(spark, common):
     assert (substring_dedup._refined(big, streams, 46, 80).count() > 0) == (common > 36)
 
 
+@pytest.mark.parametrize("common", [40, 41])
+def test_lines_too_short_for_the_partner_too(spark, common):
+    """At 0.8 two passages of 46 shingles share 41: 41 / (46 + 46 - 41) is the first above it."""
+    rng = random.Random(common)
+    line = prose(45, rng).split()
+    rows = []
+    for i in range(40):  # 46 shingles around the root, of which the last are the document's own
+        rows.append((i, f"{' '.join(f'a{i}x{j}' for j in range(60))} {' '.join(line[: common + 4])} {' '.join(f'z{i}x{j}' for j in range(70))}"))
+    streams = spark.createDataFrame([(i, bytes(hashed(t).tobytes())) for i, t in rows], "doc long, s binary")
+    big = spark.createDataFrame([(1, i, 80, 20, 125) for i, _ in rows], "key long, doc long, c int, l int, r int")
+    assert (substring_dedup._refined(big, streams, 46, 80, True).count() > 0) == (common > 40)
+
+
+def test_many_edited_copies_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """60 copies with words changed here and there: documents and links as by brute force, without comparing each pair."""
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) for _ in range(160)]
+    rows = [(i, " ".join(f"new{i}x{j}" if rng.random() < 0.012 * (i % 4) else w for j, w in enumerate(base))) for i in range(60)]
+    texts = [hashed(t) for _, t in rows]
+    brute = [(i, j) for i in range(60) for j in range(i) if substring_dedup.passages(texts[i], texts[j], 46, 80)]
+    compared, run = [], substring_dedup._confirmed
+    monkeypatch.setattr(substring_dedup, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or run(pairs, *rest))
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    linked = lambda pairs: {(r.id, r.comp) for r in near_dedup.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    print("compared", compared, "found", len(got), "brute", len(brute))
+    assert got <= set(brute) and {a for a, _ in got} == {a for a, _ in brute} and linked(got) == linked(brute)
+    assert sum(compared) < 60 * 5
+
+
 @pytest.mark.parametrize(("words", "gap"), [(60, 11), (60, 14), (55, 9), (55, 14), (70, 13)])
 def test_passages_parted_by_other_words(words, gap):
     rng = random.Random(words * gap)
